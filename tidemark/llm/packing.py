@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -12,8 +13,15 @@ from pyspark.sql import functions as F
 from .common import coded, slices, sums, texts, words
 
 
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+
+
 class Ids:
-    """Token ids of texts for a vocabulary that drops white space: each word is encoded once and remembered."""
+    """Token ids of texts for a vocabulary that drops white space and case: each word is encoded once and remembered.
+
+    Words of plain letters, with a full stop or comma at most, are encoded by their letters in lower case, many in one
+    string: each gives one token that ends a word. The others are encoded one by one.
+    """
 
     def __init__(self, file: str, most: int = 1_000_000):
         import os
@@ -22,16 +30,30 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(file), most
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.marks = {m: tuple(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in (".", ",")} | {"": ()}
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.pool, self.used = {}, np.zeros(1 << 16, np.uint32), 0
+        self.at, self.letters, self.pool, self.used = {}, {}, np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
+    def encode(self, fresh: list[str]) -> list[tuple[int, ...]]:
+        plain, letters = [m and (m[1].lower(), m[2]) for m in map(_PLAIN, fresh)], self.letters
+        new = list(dict.fromkeys(p[0] for p in plain if p and p[0] not in letters))
+        many = [new[k : k + 500] for k in range(0, len(new), 500)]
+        for words_, e in zip(many, self.tokenizer.encode_batch_fast([" ".join(w) for w in many], add_special_tokens=False)):
+            ids = e.ids
+            stops = (np.flatnonzero(self.ends[np.array(ids)]) + 1).tolist()
+            letters.update((w, tuple(ids[a:b])) for w, a, b in zip(words_, [0, *stops], stops))
+        odd = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(fresh, plain) if not p], add_special_tokens=False))
+        return [letters[p[0]] + self.marks[p[1]] if p else tuple(next(odd).ids) for p in plain]
+
     def learn(self, fresh: list[str]) -> None:
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ids = self.encode(part)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
             n = len(self.at)
