@@ -14,10 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, coded, inside, parts, rolling, slices, texts, word_hashes, words
+from .common import Memo, coded, inside, mix, parts, rolling, slices, texts, word_hashes, words
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _FIELDS = ["bucket", "hashes", "docs", "runs", "places"]
+_SCHEMA = "bucket int, hashes binary, docs binary, runs binary, places binary"
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte, all lowest bytes first: the high ones are mostly zeros, which shuffles compress."""
+    x = np.ascontiguousarray(x)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(b: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def later(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -40,24 +52,40 @@ def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[head], np.diff(np.append(head, len(doc))).astype(np.int32)
 
 
-def _grouped(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct docs in order, how many places each has, and the places."""
-    order = np.lexsort((place, doc))
-    return *_runs(doc[order]), place[order].astype("<i4")
+def _row(bucket: int, hashes: bytes, doc: np.ndarray, place: np.ndarray) -> tuple:
+    """One packed row. doc must come in runs; places rise in a run, and are kept as differences, in two bytes if they fit."""
+    ids, count = _runs(doc)
+    step = np.diff(place, prepend=0)
+    head = np.cumsum(count) - count
+    step[head] = place[head]
+    narrow = len(step) == 0 or step.max() < 1 << 16
+    return bucket, hashes, planes(np.diff(ids, prepend=0).astype("<i8")), planes(count.astype("<i4")), planes(step.astype("<u2" if narrow else "<u4"))
 
 
-def _removals(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    own, count, place = _grouped(doc, place)
-    ends = np.cumsum(count)
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([place[b - n : b].tobytes() for b, n in zip(ends, count)], pa.binary())], ["id", "starts"])
+def _unrow(docs: bytes, runs: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    count = unplanes(runs, "<i4")
+    total = int(count.sum())
+    step = unplanes(places, "<u2" if len(places) == 2 * total else "<u4").astype(np.int64)
+    sums = np.cumsum(step)
+    head = np.cumsum(count) - count
+    return np.repeat(np.cumsum(unplanes(docs, "<i8")), count), sums - np.repeat(sums[head] - step[head], count)
 
 
-def _packed(bucket: list[int], *columns: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], _FIELDS)
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], _FIELDS)
+
+
+def _dealt(doc: np.ndarray, place: np.ndarray, n: int) -> pa.RecordBatch:
+    """Removals, packed by a bucket of the doc."""
+    bucket = (mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((place, doc, bucket))
+    doc, place, bucket = doc[order], place[order], bucket[order]
+    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return _packed([_row(int(bucket[a]), b"", doc[a:b], place[a:b]) for a, b in zip(head, np.append(head[1:], len(doc)))])
 
 
 def repeated(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts): packed starts of windows that occur earlier; an id can have several rows."""
+    """(id, starts): the packed starts of an id's windows that occur earlier, one row for each id that has any."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     n = parts(rows)
 
@@ -77,27 +105,22 @@ def repeated(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
                 main, second = rolling(h, width, BASES[0])[at], rolling(h, width, BASES[1])[at]
                 late = later(main, doc, place)
                 bucket = (second % np.uint64(n)).astype(np.int64)
-                if late.any():  # settled here; without hashes they only pass through a bucket
-                    own, count, at = _grouped(doc[late], place[late])
-                    yield _packed([int(bucket[0])], [b""], [own.astype("<i8").tobytes()], [count.tobytes()], [at.tobytes()])
+                if late.any():  # settled here; without hashes it only passes through a bucket
+                    d, p = doc[late], place[late]
+                    order = np.lexsort((p, d))
+                    yield _packed([_row(int(bucket[0]), b"", d[order], p[order])])
                 keep = np.flatnonzero(~late)
                 keep = keep[np.argsort(bucket[keep].astype(np.uint16) if n <= 1 << 16 else bucket[keep], kind="stable")]
                 edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[keep]) > 0]))
-                out = [[] for _ in _FIELDS]
-                for a, b in zip(edge, np.append(edge[1:], len(keep))):
-                    own = keep[a:b]
-                    ids, count = _runs(doc[own])
-                    for x, v in zip(out, (int(bucket[own[0]]), main[own].astype("<u8").tobytes(), ids.astype("<i8").tobytes(), count.astype("<i4").tobytes(), place[own].astype("<i4").tobytes())):
-                        x.append(v)
-                yield _packed(*out)
+                yield _packed([_row(int(bucket[keep[a]]), main[keep[a:b]].astype("<u8").tobytes(), doc[keep[a:b]], place[keep[a:b]]) for a, b in zip(edge, np.append(edge[1:], len(keep)))])
 
     def meet(batches):
         hashes, docs, places, buckets = [], [], [], []
         for batch in batches:
-            for b, h, d, r, p in zip(*(batch[f].to_pylist() for f in _FIELDS)):
-                doc, place = np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(r, "<i4")), np.frombuffer(p, "<i4")
+            for b, h, *rest in zip(*(batch[f].to_pylist() for f in _FIELDS)):
+                doc, place = _unrow(*rest)
                 if not h:
-                    yield _removals(doc, place)
+                    yield _dealt(doc, place, n)
                     continue
                 hashes.append(np.frombuffer(h, "<u8"))
                 docs.append(doc)
@@ -110,10 +133,22 @@ def repeated(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
                 own = np.flatnonzero(bucket == b)
                 own = own[later(h[own], doc[own], place[own])]
                 if len(own):
-                    yield _removals(doc[own], place[own])
+                    yield _dealt(doc[own], place[own], n)
+
+    def gather(batches):
+        got = [_unrow(*rest) for batch in batches for rest in zip(*(batch[f].to_pylist() for f in _FIELDS[2:]))]
+        if not got:
+            return
+        doc, place = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((place, doc))
+        ids, count = _runs(doc[order])
+        place, ends = place[order].astype("<i4"), np.cumsum(count)
+        for at in range(0, len(ids), 1000):
+            own = range(at, min(at + 1000, len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1000], pa.int64()), pa.array([place[ends[k] - count[k] : ends[k]].tobytes() for k in own], pa.binary())], ["id", "starts"])
 
-    packed = rows.mapInArrow(windows, "bucket int, hashes binary, docs binary, runs binary, places binary")
-    return packed.repartitionById(n, F.col("bucket")).mapInArrow(meet, "id long, starts binary")
+    packed = rows.mapInArrow(windows, _SCHEMA).repartitionById(n, F.col("bucket")).mapInArrow(meet, _SCHEMA)
+    return packed.repartitionById(n, F.col("bucket")).mapInArrow(gather, "id long, starts binary")
 
 
 def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -124,7 +159,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", te
     earlier than its twin; rows with a null id compare with nothing. Ids are integers; other columns are ignored.
     Windows are told apart by 64 bits of hash and the bucket's bits of another.
     """
-    starts = repeated(docs, width, id_col, text_col).groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    starts = repeated(docs, width, id_col, text_col)
     ids = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(starts, F.col("_id").cast("long") == F.col("id"), "left").select("_id", "_text", "starts")
 
@@ -137,7 +172,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", te
                     n.append(len(own))
                     if packed:
                         delta = np.zeros(len(own) + 1, np.int64)
-                        at = np.frombuffer(b"".join(packed), "<i4")
+                        at = np.frombuffer(packed, "<i4")
                         np.add.at(delta, at, 1)
                         np.add.at(delta, at + width, -1)
                         own = [own[k] for k in np.flatnonzero(np.cumsum(delta)[:-1] == 0).tolist()]
