@@ -32,13 +32,13 @@ def fold(doc_id: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about `most` bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         start = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, start + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(size, start + most, "right")))
         yield batch.slice(at, to - at)
         at = to
 

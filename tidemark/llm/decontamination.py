@@ -81,7 +81,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     def of_items(batches):
         memo = _memo()
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", 2 << 20):
                 offsets, h = _hashed(batch, memo)
                 for k, mask in enumerate(MASKS):
                     row, place, key = seeds(h, offsets, mask)
@@ -101,7 +101,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     def of_docs(batches):
         memo, bits = _memo(), np.unpackbits(shipped.value).astype(bool)
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", 2 << 20):
                 offsets, h = _hashed(batch, memo)
                 for k, mask in enumerate(MASKS):
                     row, place, key = seeds(h, offsets, mask)
@@ -128,6 +128,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
             yield pa.RecordBatch.from_arrays([batch["id"].take(chosen), batch["item"].take(chosen), *(pa.array(kept[:, k]) for k in range(4))], ["id", "item", "doc_start", "item_start", "n_words", "n_equal"])
 
     kind = f"id {ids.simpleString()}, item {items.simpleString()}, doc_start long, item_start long, n_words long, n_equal long"
-    found = hits.join(known, ["key", "mask"]).select("mask", "id", "place", "at", "near", "item", "item_place", "item_at", "item_words", "item_near").mapInArrow(verify, kind)
+    # Merged, not broadcast: Spark cannot know how large the benchmark's windows are.
+    found = hits.join(known.hint("merge"), ["key", "mask"]).select("mask", "id", "place", "at", "near", "item", "item_place", "item_at", "item_words", "item_near").mapInArrow(verify, kind)
     best = F.max(F.struct("n_equal", "n_words", (-F.col("doc_start")).alias("back"), (-F.col("item_start")).alias("item_back"))).alias("m")
     return found.groupBy("id", "item").agg(best).select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("m.back")).alias("doc_start"), (-F.col("m.item_back")).alias("item_start"), F.col("m.n_words").alias("n_words"), F.col("m.n_equal").alias("n_equal"))
