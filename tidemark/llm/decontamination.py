@@ -17,8 +17,10 @@ from .common import Memo, coded, inside, mix, slices, texts, word_hashes, words
 
 #: The masks, 1 for a word that counts.
 MASKS = ("111111", "11011011", "110010111", "1010110011")
-FILTER_BITS = 22
+FILTER_BITS, PROBES = 24, 3
 AROUND = 256
+#: Packed benchmark windows, in bytes, up to which they are broadcast; larger ones are joined by a merge.
+BROADCAST = 64 << 20
 
 
 def normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -92,8 +94,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
 
     kind = f"key long, mask int, item {items.simpleString()}, item_place long, item_at long, item_words long, item_near binary"
     known = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_id"), F.col(item_text_col).alias("_text")).mapInArrow(of_items, kind)
-    # A filter of a fixed size, whatever the benchmark's: which low bits of a hash any item has.
-    low = known.select(F.col("key").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("low")).distinct().toPandas()["low"].to_numpy(np.int64)
+    # A Bloom filter of a fixed size, whatever the benchmark's.
+    low = known.select(F.explode(F.array(*(F.shiftrightunsigned("key", 13 * k).bitwiseAND((1 << FILTER_BITS) - 1).cast("int") for k in range(PROBES)))).alias("low")).distinct().toPandas()["low"].to_numpy(np.int64)
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[low] = True
     shipped = context.broadcast(np.packbits(bits))
@@ -105,7 +107,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
                 offsets, h = _hashed(batch, memo)
                 for k, mask in enumerate(MASKS):
                     row, place, key = seeds(h, offsets, mask)
-                    hit = np.flatnonzero(bits[(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+                    hit = np.arange(len(key))
+                    for probe in range(PROBES):
+                        hit = hit[bits[((key[hit] >> np.uint64(13 * probe)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]]
                     for a in range(0, len(hit), 4096):
                         own = hit[a : a + 4096]
                         r, p = row[own], place[own]
@@ -128,7 +132,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
             yield pa.RecordBatch.from_arrays([batch["id"].take(chosen), batch["item"].take(chosen), *(pa.array(kept[:, k]) for k in range(4))], ["id", "item", "doc_start", "item_start", "n_words", "n_equal"])
 
     kind = f"id {ids.simpleString()}, item {items.simpleString()}, doc_start long, item_start long, n_words long, n_equal long"
-    # Merged, not broadcast: Spark cannot know how large the benchmark's windows are.
-    found = hits.join(known.hint("merge"), ["key", "mask"]).select("mask", "id", "place", "at", "near", "item", "item_place", "item_at", "item_words", "item_near").mapInArrow(verify, kind)
+    # Spark cannot know how large the benchmark's windows are, so they are measured.
+    size = known.agg(F.coalesce(F.sum(F.octet_length("item_near") + 64), F.lit(0))).first()[0]
+    known = F.broadcast(known) if size <= BROADCAST else known.hint("merge")
+    found = hits.join(known, ["key", "mask"]).select("mask", "id", "place", "at", "near", "item", "item_place", "item_at", "item_words", "item_near").mapInArrow(verify, kind)
     best = F.max(F.struct("n_equal", "n_words", (-F.col("doc_start")).alias("back"), (-F.col("item_start")).alias("item_back"))).alias("m")
     return found.groupBy("id", "item").agg(best).select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("m.back")).alias("doc_start"), (-F.col("m.item_back")).alias("item_start"), F.col("m.n_words").alias("n_words"), F.col("m.n_equal").alias("n_equal"))
