@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, packing, quality, secrets, simhash
-from tidemark.llm.common import fold, table
-from tidemark.llm.queries import vocabulary, with_labels
+from tidemark.llm.common import table
+from tidemark.llm.queries import learning_labels, vocabulary
 
 #: Near duplicates: five-word shingles in two independent 64-bit SimHashes. Jaccard similarity 0.8 is a cosine of 8/9
 #: and so an expected 0.151 of the bits differ: 19 of 128.
@@ -17,10 +17,10 @@ SHINGLE, SEEDS, BITS = 5, (42, 43), 19
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects; it learns from labelled rows of this stage's input."""
-    learn = with_labels(spark, sf_dir, docs.where(~fold("doc_id", 5).isin(0, -1)), "quality")
+    """Drops the documents that the quality classifier rejects; it learns from labelled rows of its input."""
+    model = quality.fit(docs, learning_labels(spark, sf_dir, 5, 0))
     rest = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_rest"), "text")
-    kept = quality.score(rest, quality.fit(learn), id_col="_rest", keep_text=True).where("predicted = 1")
+    kept = quality.score(rest, model, id_col="_rest", keep_text=True).where("predicted = 1")
     return kept.select(*("text" if c == "text" else f"_rest.{c}" for c in docs.columns))
 
 

@@ -127,6 +127,17 @@ def bounded_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     return rows.where(keep)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, key: str, text_col: str, most: int, longest: int) -> DataFrame:
+    """key, label, text of about `most` rows at most for each 0/1 label, none over `longest` characters.
+
+    The labels are chosen first; as many as that are broadcast to the rows, so that no text is shuffled.
+    """
+    own = labels.where(F.col(label_col).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label_col).cast("int").alias("label"))
+    chosen = F.broadcast(bounded_sample(own, "label", key, most))
+    rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(key, text_col)
+    return rows.join(chosen, key).select(key, "label", text_col)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (id, component), the least id of each component, for every id in an edge.
 

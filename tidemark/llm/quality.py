@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_sample, coded, mix, slices, sums, texts, word_hashes, words
+from .common import Memo, coded, labelled_sample, mix, slices, sums, texts, word_hashes, words
 
 BITS = 18
 _SHAPES = [(re.compile(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_]+"), "A"), (re.compile(r"\d+"), "9")]
@@ -81,14 +81,13 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits
     return Model(w[:-1], float(w[-1]))
 
 
-def fit(rows: DataFrame, label_col: str = "quality", text_col: str = "text", key: str = "doc_id", per_label: int = 3000, longest: int = 20_000, bits: int = BITS) -> Model | None:
-    """A model from the rows with a 0/1 label; None without any.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", key: str = "doc_id", per_label: int = 3000, longest: int = 20_000, bits: int = BITS) -> Model | None:
+    """A model from the texts of docs that labels marks 0 or 1; None without any.
 
-    The fit sees about per_label rows of each label, chosen by a hash of key among those of at most `longest`
+    The fit sees about per_label rows of each label, chosen by a hash of key, less those over `longest`
     characters: that bounds what reaches the driver. Scoring has no such bounds.
     """
-    rows = rows.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(key, F.col(label_col).cast("int").alias("label"), text_col)
-    got = bounded_sample(rows, "label", key, per_label).toPandas().sort_values(key, kind="stable")
+    got = labelled_sample(docs, labels, label_col, key, text_col, per_label, longest).toPandas().sort_values([key, text_col], kind="stable")
     if not len(got):
         return None
     features, samples = Features(bits), []

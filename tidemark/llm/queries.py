@@ -15,9 +15,9 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def with_labels(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
-    """Rows of docs with a label; labels is keyed by doc_id."""
-    return docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull()), "doc_id")
+def learning_labels(spark: SparkSession, sf_dir: str, n: int, out: int) -> DataFrame:
+    """Labels but those of the held-out fold."""
+    return table(spark, sf_dir, "labels").where(~fold("doc_id", n).isin(out, -1))
 
 
 def held(rows: DataFrame, n: int, out: int) -> DataFrame:
@@ -38,8 +38,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learn = with_labels(spark, sf_dir, docs.where(~fold("doc_id", 3).isin(1, -1)), "toxic")
-    return held(toxicity.score(docs, toxicity.fit(learn)), 3, 1)
+    return held(toxicity.score(docs, toxicity.fit(docs, learning_labels(spark, sf_dir, 3, 1))), 3, 1)
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +74,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learn = with_labels(spark, sf_dir, docs.where(~fold("doc_id", 5).isin(0, -1)), "quality")
-    return held(quality.score(docs, quality.fit(learn)), 5, 0)
+    return held(quality.score(docs, quality.fit(docs, learning_labels(spark, sf_dir, 5, 0))), 5, 0)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
