@@ -19,8 +19,13 @@ BITS = 18
 _SHAPES = [(re.compile(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_]+"), "A"), (re.compile(r"\d+"), "9")]
 
 
+_LOWER = re.compile("[a-zß-ÿ]").search
+
+
 def shape(word: str) -> str:
     """Runs of letters as a (some lower case) or A (none), of digits as 9; other characters stay, repeats shortened."""
+    if word.isalpha():
+        return "a" if _LOWER(word[:64]) else "A"
     out = []
     for run in re.findall(r"[^\W\d_]+|\d+|[\W_]", word[:64]):
         kind = next((k for pattern, k in _SHAPES if pattern.fullmatch(run)), run)

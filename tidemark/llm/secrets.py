@@ -7,8 +7,8 @@ is by Viterbi over whole texts.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +43,28 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+_CODES: dict[tuple, int] = {}
+
+
+def _code(name: tuple) -> int:
+    got = _CODES.get(name)
+    if got is None:
+        if len(_CODES) > 500_000:
+            _CODES.clear()
+        got = _CODES[name] = zlib.crc32(repr(name).encode()) % BUCKETS
+    return got
+
+
 def word_features(word: str) -> list[int]:
     """Hashed features of a word: shape, length, mixture of characters, marks and key words in it."""
     body = word.strip("\"'.,;()[]{}")
-    digits, letters = len(_DIGITS.findall(body)), sum(map(str.isalpha, body))
-    variety = len(set(body))
-    names = [
-        f"shape {shape(body)[:12]}", f"length {min(len(body).bit_length(), 8)}", f"digits {min(digits, 9)}", f"mixed {digits > 2 and letters > 2}", f"upper {body.isupper()} {digits > 0}",
-        f"variety {min(variety // 4, 5)} {min(len(body) // 8, 6)}", f"assigns {word[-1:] in ':='} {'=' in word[:-1]}", f"key word {bool(_KEYWORD.search(word))}", f"start {body[:2]} {len(body) > 15}", f"quoted {word[:1] in '\"'}",
+    size, plain = len(body), body.isalpha()
+    digits, letters = (0, size) if plain else (len(_DIGITS.findall(body)), sum(map(str.isalpha, body)))
+    kind = shape(body)[:12]
+    return [
+        _code(("shape", kind)), _code(("length", min(size.bit_length(), 8))), _code(("digits", min(digits, 9))), _code(("mixed", digits > 2 and letters > 2)), _code(("upper", body.isupper(), digits > 0)),
+        _code(("variety", min(len(set(body)) // 4, 5), min(size // 8, 6))), _code(("assigns", word[-1:] in ":=", "=" in word[:-1])), _code(("key word", _KEYWORD.search(word) is not None)), _code(("start", body[:2], size > 15)), _code(("quoted", word[:1] in "\"'")),
     ]
-    return [int.from_bytes(hashlib.blake2b(n.encode(), digest_size=4).digest(), "little") % BUCKETS for n in names]
 
 
 class Field:
