@@ -107,22 +107,23 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, i
     def meet(batches):
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("t", pa.int32()), ("label", pa.string()), ("rep", pa.int64()), ("weight", pa.int64()), ("v", pa.binary()), ("sign", pa.binary())]))
         key, t, rep, weight = (got[c].to_numpy() for c in ("key", "t", "rep", "weight"))
+        label, packed, signs = (got[c].to_pylist() for c in ("label", "v", "sign"))
         order = np.argsort(key, kind="stable")
         head = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else order
         for a, b in zip(head, np.append(head[1:], len(key))):
             if b - a < 2:
                 continue
             own = order[a:b]
-            taken = got.take(pa.array(own))
-            kinds = [f"{x}:{len(v)}:{k}" for x, v, k in zip(taken["label"].to_pylist(), taken["v"].to_pylist(), t[own].tolist())]
-            for kind in sorted(set(kinds)):  # one, but for a collision of keys
-                part = np.array([k for k, x in enumerate(kinds) if x == kind])
+            kinds: dict[tuple, list[int]] = {}  # one, but for a collision of keys
+            for k in own.tolist():
+                kinds.setdefault((label[k], len(packed[k]), t[k]), []).append(k)
+            for (_, _, table), part in sorted(kinds.items()):
                 if len(part) < 2:
                     continue
-                unit = np.stack([np.frombuffer(taken["v"][int(k)].as_py(), np.float64) for k in part])
-                sign = np.stack([np.frombuffer(taken["sign"][int(k)].as_py(), "<i4") for k in part])
-                ids, w = rep[own[part]], weight[own[part]]
-                degree, x, y = bucket_links(unit, sign, w, int(t[own[part[0]]]), cosine)
+                unit = np.frombuffer(b"".join([packed[k] for k in part]), np.float64).reshape(len(part), -1)
+                sign = np.frombuffer(b"".join([signs[k] for k in part]), "<i4").reshape(len(part), -1)
+                ids, w = rep[part], weight[part]
+                degree, x, y = bucket_links(unit, sign, w, int(table), cosine)
                 linked = np.flatnonzero(degree)
                 if len(linked):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.nulls(len(linked), pa.int64()), pa.array(degree[linked])], ["a", "b", "degree"])
