@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one call of a vectorised kernel gets; a longer document is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,10 +94,24 @@ def word_hashes(distinct: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
 
 
+#: What a worker process keeps from task to task, one thing at a time.
+HELD: dict[tuple, object] = {}
+
+
+def held(kind: type, *args):
+    """The worker's object of that kind and arguments, made if it holds another."""
+    key = (kind, *args)
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = kind(*args)
+    return HELD[key]
+
+
 class Memo:
     """Rows of numbers by word, filled by `make` for words not met yet; emptied beyond `most` words."""
 
-    def __init__(self, make, width: int, dtype=np.float64, most: int = 1_000_000):
+    def __init__(self, make, width: int, dtype=np.float64, most: int = 250_000):
+        HELD.clear()
         self.make, self.width, self.dtype, self.most, self.at = make, width, dtype, most, {}
         self.rows = np.zeros((1024, width), dtype)
 
@@ -163,6 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
 def parts(df: DataFrame, each: int = 32 << 20) -> int:
     """Shuffle partitions for df's input: as set for the session, or more where one would read over `each` bytes of it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = 0 if size >= 1 << 60 else size  # Spark's guess for rows of unknown size
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, size // each))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, slices, sums, texts, words
+from .common import coded, held, slices, sums, texts, words
 
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
@@ -23,7 +23,7 @@ class Ids:
     string: each gives one token that ends a word. The others are encoded one by one.
     """
 
-    def __init__(self, file: str, most: int = 1_000_000):
+    def __init__(self, file: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -83,15 +83,6 @@ class Ids:
         return np.concatenate([[0], np.cumsum(sums(size, offsets))]).astype(np.int64), ids
 
 
-_KEPT: dict[str, Ids] = {}  # a worker process serves many tasks
-
-
-def shared(file: str) -> Ids:
-    if file not in _KEPT:
-        _KEPT[file] = Ids(file)
-    return _KEPT[file]
-
-
 def pack(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int]]:
     """Bin and offset of each length, in the order given.
 
@@ -135,7 +126,7 @@ def pieces(docs: DataFrame, file: str, capacity: int = 2048, end_id: int = 0, id
     ids = docs.schema[id_col].dataType
 
     def cut_up(batches):
-        encode = shared(file)
+        encode = held(Ids, file)
         for whole in batches:
             for batch in slices(whole, "_text"):
                 offsets, flat = encode(texts(batch["_text"]))

@@ -12,13 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, slices, sums, texts
+from .common import coded, held, slices, sums, texts
 
 
 class Lengths:
     """Token counts of a tokenizers file for many texts. most: distinct stretches remembered."""
 
-    def __init__(self, file: str, most: int = 1_000_000):
+    def __init__(self, file: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -77,15 +77,6 @@ class Lengths:
         return sums(counts, offsets)
 
 
-_KEPT: dict[str, Lengths] = {}  # a worker process serves many tasks
-
-
-def shared(file: str) -> Lengths:
-    if file not in _KEPT:
-        _KEPT[file] = Lengths(file)
-    return _KEPT[file]
-
-
 def _ends_safely(flat: pa.Array) -> np.ndarray:
     """Whether each string surely ends in a character that is not white space: ASCII, or of two bytes above U+00BF."""
     flat = pa.concat_arrays([flat])
@@ -106,7 +97,7 @@ def token_counts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
     ids = docs.schema[id_col].dataType
 
     def count(batches):
-        lengths = shared(file)
+        lengths = held(Lengths, file)
         for whole in batches:
             for batch in slices(whole, "_text"):
                 column = texts(batch["_text"])
