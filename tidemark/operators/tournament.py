@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MU, SIGMA = 50.0, 25.0 / 3
+MU, SIGMA = 50.0, 8.333
 BETA, TAU = SIGMA / 2, SIGMA / 100
 
 
