@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -32,6 +34,15 @@ def fold(doc_id: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Arrow's pool and the C heap keep it otherwise, in each worker process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about `most` bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -103,6 +114,7 @@ def held(kind: type, *args):
     key = (kind, *args)
     if key not in HELD:
         HELD.clear()
+        release()
         HELD[key] = kind(*args)
     return HELD[key]
 

@@ -17,13 +17,13 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 
 class Ids:
-    """Token ids of texts for a vocabulary that drops white space and case: each word is encoded once and remembered.
+    """Token ids of texts for a vocabulary that drops white space and case: each word is encoded once and remembered, up to `most` words.
 
     Words of plain letters, with a full stop or comma at most, are encoded by their letters in lower case, many in one
     string: each gives one token that ends a word. The others are encoded one by one.
     """
 
-    def __init__(self, file: str, most: int = 600_000):
+    def __init__(self, file: str, most: int = 200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
