@@ -15,7 +15,6 @@ from .common import coded, held, slices, sums, texts, words
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
-
 class Ids:
     """Token ids of texts for a vocabulary that drops white space and case: each word is encoded once and remembered, up to `most` words.
 
@@ -79,7 +78,7 @@ class Ids:
         size = self.size[row]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) + np.repeat(self.start[row] - (ends - size), size)]
+        ids = self.pool[np.arange(total, dtype=np.int32) + np.repeat((self.start[row] - (ends - size)).astype(np.int32), size)]
         return np.concatenate([[0], np.cumsum(sums(size, offsets))]).astype(np.int64), ids
 
 
