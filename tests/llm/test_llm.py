@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontamination, embeddings, language_id, packing, quality, secrets, simhash, substring_dedup, token_counts, toxicity
@@ -65,6 +66,20 @@ def test_packing_round_trip(spark, docs):
             assert at <= 2048
 
 
+def test_word_ids_equal_the_tokenizer():
+    rng = random.Random(3)
+    odd = ["", None, " ", ".", ". a", "a.", "a. .", "é.", "É. x", "÷. x", "ß, ", "\u0301. a", "a.\u0301", "don't. it's, 'tis", "<|endoftext|>", "<|ENDOFTEXT|> A.", "x<|endoftext|>.", "foo.bar, baz... qux.,", "İs. ΣΑΣ. ", "a.\x1c b,\x85c", "A" * 5000 + ". " + "b, " * 100]
+    odd += ["".join(rng.choices([*"abÉé.,!'s \n\t3-÷ßµ\u0301ñ…", "<|endoftext|>"], k=rng.randint(0, 40))) for _ in range(2000)]
+    for most in (10, 400_000):
+        ids = packing.Ids(vocabulary("word_bpe_49k.json"), most)
+        for k in range(0, len(odd), 400):
+            part = [t or "" for t in odd[k : k + 400]]
+            at, flat = ids(pa.array(part))
+            assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in ids.tokenizer.encode_batch(part, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        packing.Ids(vocabulary("byte_bpe_50k.json"))
+
+
 def test_pack_takes_fullest_fitting_bin():
     assert packing.pack([6, 5, 4, 3, 2], 10, 8) == ([0, 1, 0, 1, 1], [0, 0, 6, 5, 8])
     assert packing.pack([6, 7, 8, 4], 10, 2)[0] == [0, 1, 2, 0]  # 7, the fullest, was closed

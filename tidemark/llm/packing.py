@@ -4,77 +4,114 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import coded, held, slices, sums, texts, words
 
+#: Lower-case words of letters that no Unicode normal form changes.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 class Ids:
-    """Token ids of texts for a vocabulary that drops white space and case: each word is encoded once and remembered, up to `most` words.
+    """Token ids of texts for a byte-pair vocabulary that drops white space and case and splits letters from marks.
 
-    Words of plain letters, with a full stop or comma at most, are encoded by their letters in lower case, many in one
-    string: each gives one token that ends a word. The others are encoded one by one.
+    Each word, lower-cased in A-Z and without a full stop or comma behind it, is encoded once and remembered, up to
+    `most` words. Words of plain letters go through the model alone, many in one string: each gives one token that
+    ends a word. The others go through the whole tokenizer one by one. Another kind of vocabulary is a ValueError.
     """
 
-    def __init__(self, file: str, most: int = 200_000):
+    def __init__(self, file: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(file), most
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.marks = {m: tuple(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in (".", ",")} | {"": ()}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
+        probe = "The quick  brown fox's\tden, Été ça.\nDON'T stop... (it)."
+        if self(pa.array([probe]))[1].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{file}: not a vocabulary of words without case")
 
     def clear(self) -> None:
-        self.at, self.letters, self.pool, self.used = {}, {}, np.zeros(1 << 16, np.uint32), 0
+        self.at, self.pool, self.used = {}, np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def encode(self, fresh: list[str]) -> list[tuple[int, ...]]:
-        plain, letters = [m and (m[1].lower(), m[2]) for m in map(_PLAIN, fresh)], self.letters
-        new = list(dict.fromkeys(p[0] for p in plain if p and p[0] not in letters))
-        many = [new[k : k + 500] for k in range(0, len(new), 500)]
-        for words_, e in zip(many, self.tokenizer.encode_batch_fast([" ".join(w) for w in many], add_special_tokens=False)):
-            ids = e.ids
-            stops = (np.flatnonzero(self.ends[np.array(ids)]) + 1).tolist()
-            letters.update((w, tuple(ids[a:b])) for w, a, b in zip(words_, [0, *stops], stops))
-        odd = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(fresh, plain) if not p], add_special_tokens=False))
-        return [letters[p[0]] + self.marks[p[1]] if p else tuple(next(odd).ids) for p in plain]
+    def tidy(self, column: pa.Array) -> pa.Array:
+        """The texts in lower case (A-Z), with a space before a full stop or comma between a letter and white space.
+
+        Neither changes a token. Case stays where an added token, which heeds case, would else be met or lost.
+        """
+        low = pc.ascii_lower(column)
+        if any(pc.any(pc.match_substring(low, t)).as_py() for t in self.added):
+            low = column
+        ends = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64) if len(low) else np.zeros(1, np.int64)
+        if ends[-1] == ends[0]:
+            return low
+        data = np.frombuffer(low.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        at = np.flatnonzero((data == ord(".")) | (data == ord(",")))
+        last = ends[np.searchsorted(ends, at + 1)] == at + 1
+        at = at[(ends[np.searchsorted(ends, at)] != at) & (last | _SPACE[data[np.minimum(at + 1, len(data) - 1)]])]
+        before, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+        latin = (lead == 0xC3) & (before >= 0x9F) & (before != 0xB7) & (before < 0xC0)
+        at = at[((before >= ord("a")) & (before <= ord("z"))) | latin]
+        ends += np.searchsorted(at, ends)
+        return pa.Array.from_buffers(pa.large_string(), len(low), [None, pa.py_buffer(ends), pa.py_buffer(np.insert(data, at, 32))])
 
     def learn(self, fresh: list[str]) -> None:
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            ids = self.encode(part)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-            n = len(self.at)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while n + len(part) > len(self.size):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.start[n : n + len(part)] = self.used + np.cumsum(size) - size
-            self.size[n : n + len(part)] = size
-            self.used += len(flat)
-            self.at.update(zip(part, range(n, n + len(part))))
+        plain, odd = [w for w in fresh if _PLAIN(w)], [w for w in fresh if not _PLAIN(w)]
+        flat, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if plain:
+            many = [" ".join(plain[k : k + 500]) for k in range(0, len(plain), 500)]
+            flat.extend(np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(many, add_special_tokens=False))
+            size.append(np.diff(np.flatnonzero(self.ends[np.concatenate(flat)]), prepend=-1))
+            if len(size[-1]) != len(plain):
+                raise ValueError("not a vocabulary that marks the ends of words")
+        for k in range(0, len(odd), 20_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(odd[k : k + 20_000], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(size[-1].sum())))
+        flat, size, n = np.concatenate(flat), np.concatenate(size), len(self.at)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + len(size) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.start[n : n + len(size)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(size)] = size
+        self.used += len(flat)
+        self.at.update(zip(chain(plain, odd), range(n, n + len(size))))
+
+    def rows(self, distinct: list[str]) -> np.ndarray:
+        """Where each word's tokens are, learnt if need be."""
+        if len(self.at) > self.most:
+            self.clear()
+        row = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            fresh = [distinct[k] for k in new.tolist()]
+            self.learn(fresh)
+            row[new] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
+        return row
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and flat ids of each text."""
-        offsets, flat = words(column)
+        offsets, flat = words(self.tidy(column))
         codes, distinct = coded(flat)
-        if len(self.at) > self.most:
-            self.clear()
-        at = self.at
-        self.learn([w for w in distinct if w not in at])
-        row = np.fromiter((at[w] for w in distinct), np.int64, len(distinct))[codes] if distinct else codes
+        row = self.rows(distinct)[codes] if distinct else codes
         size = self.size[row]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
