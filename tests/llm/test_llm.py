@@ -80,6 +80,18 @@ def test_word_ids_equal_the_tokenizer():
         packing.Ids(vocabulary("byte_bpe_50k.json"))
 
 
+def test_stars_keep_components():
+    rng = random.Random(5)
+    for n, m in ((1, 0), (2, 3), (40, 30), (400, 380), (400, 2000)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        least = list(range(n))
+        for _ in range(n):
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        a, b = simhash.stars(*(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)))
+        assert dict(zip(a.tolist(), b.tolist())) == {k: v for k, v in enumerate(least) if k != v}
+
+
 def test_pack_takes_fullest_fitting_bin():
     assert packing.pack([6, 5, 4, 3, 2], 10, 8) == ([0, 1, 0, 1, 1], [0, 0, 6, 5, 8])
     assert packing.pack([6, 7, 8, 4], 10, 2)[0] == [0, 1, 2, 0]  # 7, the fullest, was closed

@@ -150,6 +150,23 @@ def bucket_links(key: np.ndarray, prints: np.ndarray, bits: int, small: int = 24
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([a for a, _ in found], [b for _, b in found]))
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components as a, b: each member but the least with the least of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(u):
+        low = np.minimum(root[u], root[v])
+        np.minimum.at(root, root[u], low)
+        np.minimum.at(root, root[v], low)
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[u] != root[v]
+        u, v = u[open_], v[open_]
+    far = root != np.arange(len(ids))
+    return ids[far], ids[root[far]]
+
+
 def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     """id, the fingerprints, component_id: prints of fp0, fp1, ... linked where in all at most `bits` bits differ.
 
@@ -173,8 +190,8 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("rep", pa.int64()), *((c, pa.int64()) for c in names)]))
         rep = got["rep"].to_numpy()
         a, b = bucket_links(got["key"].to_numpy(), np.stack([got[c].to_numpy().view(np.uint64) for c in names], axis=1), bits)
-        pair = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        a, b = stars(rep[a], rep[b])  # a row for each member at most, and mostly the same ones from all tasks
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     long = ", ".join(f"{c} long" for c in names)
     edges = reps.select(F.col("rep").cast("long"), *names).mapInArrow(emit, f"key long, rep long, {long}").repartition(n, "key").mapInArrow(meet, "a long, b long")
