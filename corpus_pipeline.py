@@ -11,9 +11,9 @@ from tidemark.llm import decontamination, packing, quality, secrets, simhash
 from tidemark.llm.common import table
 from tidemark.llm.queries import learning_labels, vocabulary
 
-#: Near duplicates: five-word shingles in two independent 64-bit SimHashes. Jaccard similarity 0.8 is a cosine of 8/9
-#: and so an expected 0.151 of the bits differ: 19 of 128.
-SHINGLE, SEEDS, BITS = 5, (42, 43), 19
+#: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more. That is a cosine of 8/9, so an expected
+#: 0.151 of the SimHash bits of candidates differ, 29 of 192; 48 is 3.8 standard deviations above.
+SHINGLE, LEAST, BITS = 5, 0.8, 48
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near duplicates; documents without an id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), SHINGLE, BITS, SEEDS)
+    found = simhash.similar(docs.select("doc_id", "text"), SHINGLE, LEAST, BITS)
     return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 

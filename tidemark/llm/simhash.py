@@ -13,10 +13,11 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, parts, slices, texts
+from .common import Memo, coded, components, cut, inside, mix, parts, rolling, slices, sums, texts, word_hashes, words
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # shift and bits
@@ -209,3 +210,170 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, seeds: tup
     and is null where no other id is. Equal ids are fine; ids are integers; other columns are ignored.
     """
     return link(fingerprints(docs, shingle, seeds, id_col, text_col), bits, id_col)
+
+
+BASE = 0x9E3779B97F4A7C15
+#: Of similar(): fingerprints of a set (the first two give Golay keys, all are compared), bands of MinHash values and values a band.
+PRINTS, KEYED, BANDS, WIDE = 3, 2, 16, 4
+FILTER = 1 << 24
+
+
+def shingle_sets(column: pa.Array, width: int, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and flat 64-bit hashes, ascending in each text: its distinct shingles; fewer words than `width` are one shingle."""
+    offsets, flat = words(pc.ascii_lower(texts(column)))
+    codes, distinct = coded(flat)
+    h = memo(distinct)[codes, 0] if distinct else np.zeros(0, np.uint64)
+    row, _, at = inside(offsets, width)
+    made = rolling(h, width, BASE)[at]
+    size = np.diff(offsets)
+    short = np.flatnonzero((size > 0) & (size < width))
+    if len(short):
+        whole = np.zeros(len(short), np.uint64)
+        for k in range(width - 1):
+            more = size[short] > k
+            whole[more] = whole[more] * np.uint64(BASE) + h[offsets[:-1][short[more]] + k]
+        row, made = np.concatenate([row, short]), np.concatenate([made, mix(whole ^ mix(size[short].astype(np.uint64)))])
+    order = np.lexsort((made, row))
+    row, made = row[order], made[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (made[1:] != made[:-1])]) if len(row) else np.zeros(0, bool)
+    return np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(size)))]), made[new]
+
+
+def digests(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """64 bits that tell sets of hashes apart; 0 for an empty one."""
+    size = np.diff(offsets).astype(np.uint64)
+    return np.where(size > 0, mix(sums(mix(flat ^ np.uint64(BASE)), offsets) ^ mix(size)), np.uint64(0))
+
+
+def set_prints(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """[set, PRINTS]: SimHashes of independent hashes of the members."""
+    out = np.zeros((len(offsets) - 1, PRINTS), np.uint64)
+    size, full = np.diff(offsets), np.flatnonzero(np.diff(offsets))
+    for k in range(PRINTS if len(full) else 0):
+        h = mix(flat ^ mix(np.uint64(k + 1)))
+        ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), offsets[full], axis=0, dtype=np.int32)
+        out[full, k] = np.packbits(2 * ones > size[full, None], axis=1).view(np.uint64)[:, 0]
+    return out
+
+
+def set_bands(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """[set, BANDS]: hashes of WIDE MinHash values each; 0 for an empty set."""
+    out = np.zeros((len(offsets) - 1, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(offsets))
+    for k in range(BANDS if len(full) else 0):
+        own = np.full(len(full), np.uint64(k), np.uint64)
+        for j in range(WIDE):
+            one = mix(np.uint64(1000 + WIDE * k + j)) | np.uint64(1)
+            own = mix(own * np.uint64(BASE) + np.minimum.reduceat(flat * one, offsets[full]))
+        out[full, k] = own
+    return out
+
+
+def similar_groups(offsets: np.ndarray, flat: np.ndarray, least: float) -> np.ndarray:
+    """The least member connected to each set by links of Jaccard similarity `least` or more: each is compared once with those not yet reached."""
+    n, size = len(offsets) - 1, np.diff(offsets)
+    distinct, code = np.unique(flat, return_inverse=True)
+    root, left = np.arange(n), np.arange(n)
+    held, at = code, offsets  # the members of the sets that are left
+    while len(left) > 1:
+        first, queue = left[0], [left[0]]
+        while queue:
+            mark = np.zeros(len(distinct), bool)
+            now = queue.pop()
+            mark[code[offsets[now] : offsets[now + 1]]] = True
+            both = sums(mark[held].astype(np.int64), at)
+            near = (both > 0) & (both >= least * (size[left] + size[now] - both) - 1e-9)
+            near |= left == first
+            if near.any():
+                found = left[near]
+                root[found] = first
+                queue.extend(found[found != first].tolist())
+                held = held[np.repeat(~near, size[left])]
+                left = left[~near]
+                at = np.concatenate([[0], np.cumsum(size[left])])
+            if not len(left):
+                break
+    return root
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component_id of each row: texts linked where the Jaccard similarity of their sets of `width`-word shingles is `least` or more.
+
+    Words and short, null and empty texts are as in near_duplicates; texts without words are one class. Candidates
+    share a Golay key of one of two SimHashes or a band of MinHash values, and differ in at most `bits` of 192 SimHash
+    bits; of their components, the sets themselves are compared, so no link is below `least`, and one above is missed
+    only where candidates do not connect it. Shingles and sets are told apart by 64 bits. component_id is the least id
+    reachable; null ids as in near_duplicates.
+    """
+    ids = docs.schema[id_col].dataType.simpleString()
+    names = [f"fp{k}" for k in range(PRINTS)]
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def sketch(batches):
+        memo = Memo(lambda w: word_hashes(w)[:, None], 1, np.uint64)
+        for whole in batches:
+            for batch in slices(whole, "_text", 2 << 20):
+                own = shingle_sets(batch["_text"], width, memo)
+                made, bands = set_prints(*own), set_bands(*own)
+                yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(digests(*own).view(np.int64)), *(pa.array(made[:, k].copy().view(np.int64)) for k in range(PRINTS)), pa.array([b.tobytes() for b in bands], pa.binary())], ["_id", "node", *names, "bands"])
+
+    prints = cut(rows.mapInArrow(sketch, f"_id {ids}, node long, " + ", ".join(f"{c} long" for c in names) + ", bands binary"))
+    reps = cut(prints.groupBy("node").agg(F.min("_id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in [*names, "bands"])).where("rep is not null"))
+    n = parts(reps, 1 << 20)
+
+    def emit(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                fps = [batch[c].to_numpy().view(np.uint64) for c in names]
+                made = [(row, key | (k << 26)) for k in range(KEYED) for row, key in [keys(fps[k])]]
+                bands = np.frombuffer(b"".join(batch["bands"].to_pylist()), np.uint64).reshape(-1, BANDS)
+                row, col = np.nonzero(bands)
+                made.append((row, ((bands[row, col] >> np.uint64(2)) | np.uint64(1 << 62)).view(np.int64)))
+                for row, key in made:
+                    yield pa.RecordBatch.from_arrays([pa.array(key), batch["node"].take(pa.array(row)), *(pa.array(x[row].view(np.int64)) for x in fps)], ["key", "node", *names])
+
+    def meet(batches):
+        long = pa.int64()
+        got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", long), ("node", long), *((c, long) for c in names)]))
+        node = got["node"].to_numpy()
+        a, b = bucket_links(got["key"].to_numpy(), np.stack([got[c].to_numpy().view(np.uint64) for c in names], axis=1), bits)
+        a, b = stars(node[a], node[b])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    long = ", ".join(f"{c} long" for c in names)
+    edges = reps.select("node", *names, "bands").mapInArrow(emit, f"key long, node long, {long}").repartition(n, "key").mapInArrow(meet, "a long, b long")
+    near = cut(components(edges).join(reps.select(F.col("node").alias("id"), "rep"), "id"))
+    # Texts are read again for members of candidate components only, told by bits of a fixed size, whatever the input's.
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER)) + 1
+    maps = near.select(bit("rep").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()
+    wanted = np.zeros((FILTER >> 15, 1 << 12), np.uint8)
+    for r in maps:
+        wanted[r["k"] - 1] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shipped = context.broadcast(wanted.reshape(-1))
+
+    def sets(batches):
+        memo, chosen = Memo(lambda w: word_hashes(w)[:, None], 1, np.uint64), shipped.value
+        for whole in batches:
+            at = whole["bit"].to_numpy() - 1
+            whole = whole.filter(pa.array((chosen[at >> 3] >> (at & 7) & 1).astype(bool)))
+            for batch in slices(whole, "_text", 2 << 20):
+                offsets, flat = shingle_sets(batch["_text"], width, memo)
+                yield pa.RecordBatch.from_arrays([pa.array(digests(offsets, flat).view(np.int64)), pa.array([flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())], ["id", "shingles"])
+
+    def verify(batches):
+        got = {}
+        for batch in batches:
+            for c, i, rep, own in zip(*(batch[x].to_pylist() for x in ("component", "id", "rep", "shingles"))):
+                got.setdefault(c, {})[i] = rep, own
+        for members in got.values():
+            nodes = sorted(members, key=lambda i: members[i][0])
+            flat = [np.frombuffer(members[i][1], np.uint64) for i in nodes]
+            root = similar_groups(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), np.concatenate(flat), least)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([members[nodes[k]][0] for k in root.tolist()], pa.int64())], ["node", "component_id"])
+
+    own = rows.where("_id is not null").select(bit("_id").alias("bit"), "_text").mapInArrow(sets, "id long, shingles binary")
+    found = own.join(near, "id").repartition(n, "component").mapInArrow(verify, "node long, component_id long")
+    owner = reps.select("node", "rep").join(found, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    return prints.select("_id", "node").join(owner, "node", "left").select(F.col("_id").alias(id_col), "component_id")
