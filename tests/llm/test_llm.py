@@ -222,6 +222,22 @@ def test_substring_dedup(spark, docs):
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_substring_dedup_of_repeated_rows():
+    doc, place = np.array([5, 5, 5, 5, 5, 5]), np.array([3, 9, 20, 3, 9, 20])
+    assert [x.tolist() for x in substring_dedup._unrow(*substring_dedup._row(0, b"", doc, place)[2:])] == [doc.tolist(), place.tolist()]
+
+
+def test_substring_dedup_of_an_id_with_several_rows(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=n)) for n in (300, 90)]
+    texts += [texts[0][-400:], f"{texts[1]} {texts[1]}"]
+    once = [(k, t) for k, t in enumerate(texts)]
+    want = by_id(substring_dedup.substring_dedup(spark.createDataFrame(once, "doc_id long, text string")))
+    assert want[2]["n_removed"] and want[3]["n_removed"]
+    rows = substring_dedup.substring_dedup(spark.createDataFrame([*once, *once, *once[::-1]], "doc_id long, text string").coalesce(1)).collect()
+    assert len(rows) == 12 and all(r == want[r["doc_id"]] for r in rows)
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     changed = item.replace("five", "FIVE!").replace("nine", "zzz")

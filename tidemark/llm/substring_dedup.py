@@ -47,14 +47,18 @@ def later(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+def _runs(doc: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of the runs of doc; with places, a run also ends where they do not rise, as between rows of one id."""
+    new = doc[1:] != doc[:-1]
+    if place is not None:
+        new |= place[1:] <= place[:-1]
+    head = np.flatnonzero(np.concatenate([[True], new])) if len(doc) else np.zeros(0, np.int64)
     return doc[head], np.diff(np.append(head, len(doc))).astype(np.int32)
 
 
 def _row(bucket: int, hashes: bytes, doc: np.ndarray, place: np.ndarray) -> tuple:
-    """One packed row. doc must come in runs; places rise in a run, and are kept as differences, in two bytes if they fit."""
-    ids, count = _runs(doc)
+    """One packed row. Places are kept as differences in runs of a doc in which they rise, in two bytes if they fit."""
+    ids, count = _runs(doc, place)
     step = np.diff(place, prepend=0)
     head = np.cumsum(count) - count
     step[head] = place[head]
