@@ -21,11 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder of spark.checkpoint.dir (a temporary one if unset)."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Unset, a temporary one serves a local master; on a cluster that is an error."""
+    context = spark.sparkContext
+    known = context.getConf().get("spark.checkpoint.dir")
+    if known:
+        return known
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -120,21 +131,25 @@ def held(kind: type, *args):
 
 
 class Memo:
-    """Rows of numbers by word, filled by `make` for words not met yet; emptied beyond `most` words."""
+    """Rows of numbers by word, filled by `make` for words not met yet; emptied beyond `most` words or `chars` characters."""
 
-    def __init__(self, make, width: int, dtype=np.float64, most: int = 250_000):
+    def __init__(self, make, width: int, dtype=np.float64, most: int = 250_000, chars: int = 16 << 20):
         HELD.clear()
-        self.make, self.width, self.dtype, self.most, self.at = make, width, dtype, most, {}
-        self.rows = np.zeros((1024, width), dtype)
+        self.make, self.width, self.dtype, self.most, self.chars = make, width, dtype, most, chars
+        self.clear()
+
+    def clear(self) -> None:
+        self.at, self.size, self.rows = {}, 0, np.zeros((1024, self.width), self.dtype)
 
     def __call__(self, distinct: list[str]) -> np.ndarray:
-        if len(self.at) > self.most:
-            self.at, self.rows = {}, np.zeros((1024, self.width), self.dtype)
+        if len(self.at) > self.most or self.size > self.chars:
+            self.clear()
         at, n = self.at, len(self.at)
         fresh = [w for w in distinct if w not in at]
         if fresh:
             made = self.make(fresh)
             at.update(zip(fresh, range(n, n + len(fresh))))
+            self.size += sum(map(len, fresh))
             if n + len(fresh) > len(self.rows):
                 grown = np.zeros((2 * (n + len(fresh)), self.width), self.dtype)
                 grown[:n] = self.rows[:n]
@@ -143,43 +158,81 @@ class Memo:
         return self.rows[np.fromiter((at[w] for w in distinct), np.int64, len(distinct))]
 
 
+def share_limit(n: int, most: int) -> int:
+    """The 64-bit signed number that about `most` of n evenly spread hashes stay below, whatever n; all do if n <= most."""
+    return (1 << 63) - 1 if n <= most else (most << 64) // n - (1 << 63)
+
+
 def bounded_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """About `most` rows at most for each value of `by`, chosen by a hash of `key`; for fitting only."""
-    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
-    keep = F.lit(False)
-    for value, n in counts.items():
-        share = min(1.0, most / max(n, 1))
-        keep = keep | ((F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)))
-    return rows.where(keep)
+    """About `most` rows at most for each value of `by`, chosen by a 64-bit hash of `key`; for fitting only.
+
+    The values of `by` are the classes of a model, so there are as many as it has outputs. Rows that share a key are
+    chosen together.
+    """
+    limits = [x for r in rows.where(F.col(by).isNotNull()).groupBy(by).count().collect() for x in (F.lit(r[0]), F.lit(share_limit(r[1], most)))]
+    if not limits:
+        return rows.where("false")
+    return rows.where(F.xxhash64(F.lit("sample"), F.col(key)) <= F.try_element_at(F.create_map(*limits), F.col(by)))
+
+
+def stretch(text: str, key: str, most: int) -> Column:
+    """The text if it has `most` characters or fewer, else a stretch of `most` from a place that a hash of key picks."""
+    start = F.pmod(F.xxhash64(F.lit("stretch"), F.col(key)), F.greatest(F.lit(1), F.length(text) - most + 1)) + 1
+    return F.when(F.length(text) <= most, F.col(text)).otherwise(F.substring(F.col(text), start.cast("int"), F.lit(most)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, key: str, text_col: str, most: int, longest: int) -> DataFrame:
-    """key, label, text of about `most` rows at most for each 0/1 label, none over `longest` characters.
+    """key, label, text of about `most` rows at most for each 0/1 label; of a text over `longest` characters a stretch of so many.
 
-    The labels are chosen first; as many as that are broadcast to the rows, so that no text is shuffled.
+    The labels are chosen first; as many as that are broadcast to the rows, so that no text is shuffled. Labels that
+    are repeated count once, an id with both labels teaches nothing, and equal rows are one.
     """
-    own = labels.where(F.col(label_col).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label_col).cast("int").alias("label"))
-    chosen = F.broadcast(bounded_sample(own, "label", key, most))
-    rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(key, text_col)
-    return rows.join(chosen, key).select(key, "label", text_col)
+    own = labels.where(F.col(label_col).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("_other"))
+    chosen = F.broadcast(bounded_sample(own.where("label = _other").select(key, "label"), "label", key, most))
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(key).isNotNull()).select(key, stretch(text_col, key, longest).alias(text_col))
+    return rows.join(chosen, key).select(key, "label", text_col).distinct()
+
+
+def hot_size(n: int, least: int = 256) -> int:
+    """Rows of a key from which on it counts as hot among n rows: at most 100,000 keys do, at any n."""
+    return max(least, n // 100_000)
+
+
+def spread_join(rows: DataFrame, owner: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
+    """rows left-joined with owner, which has one row for each key; size: its column of how many rows have the key, n in all.
+
+    The hot keys of owner, 100,000 at most, are broadcast, so no key's rows meet in one task; the others are shuffled.
+    """
+    limit = hot_size(n)
+    gets = [c for c in owner.columns if c not in (*keys, size)]
+    hot = owner.where(F.col(size) > limit).select(*keys, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_{c}") for c in gets))
+    near = rows.join(F.broadcast(hot), keys, "left")
+    done = near.where("_hot").select(*rows.columns, *(F.col(f"_{c}").alias(c) for c in gets))
+    rest = near.where("_hot is null").select(*rows.columns).join(owner.where(F.col(size) <= limit).select(*keys, *gets), keys, "left")
+    return done.unionByName(rest.select(*rows.columns, *gets))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (id, component), the least id of each component, for every id in an edge.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) as joins and min-aggregates, with the
-    lineage cut each round, until the edges no longer change. No neighbourhood is gathered anywhere.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) as min-aggregates and joins, with the lineage cut
+    each round, until the edges no longer change. No neighbourhood is gathered anywhere: a hub's edges get its least
+    neighbour by a broadcast of the hubs, whose number is bounded.
     """
+
+    def tally(e):
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
-    while True:
+    last = tally(e)
+    while last[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("b > a"), least, ["a"], "n", 2 * last[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, ["a"], "n", last[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = cut(small.distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = tally(e)
         if now == last:
             break
         last = now
@@ -190,7 +243,7 @@ def parts(df: DataFrame, each: int = 32 << 20) -> int:
     """Shuffle partitions for df's input: as set for the session, or more where one would read over `each` bytes of it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = 0 if size >= 1 << 60 else size  # Spark's guess for rows of unknown size
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, size // each))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // each)
 
 
 def rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:

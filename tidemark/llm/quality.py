@@ -25,9 +25,9 @@ _LOWER = re.compile("[a-zß-ÿ]").search
 def shape(word: str) -> str:
     """Runs of letters as a (some lower case) or A (none), of digits as 9; other characters stay, repeats shortened."""
     if word.isalpha():
-        return "a" if _LOWER(word[:64]) else "A"
+        return "a" if _LOWER(word) else "A"
     out = []
-    for run in re.findall(r"[^\W\d_]+|\d+|[\W_]", word[:64]):
+    for run in re.findall(r"[^\W\d_]+|\d+|[\W_]", word):
         kind = next((k for pattern, k in _SHAPES if pattern.fullmatch(run)), run)
         if out[-2:] != [kind, kind]:
             out.append(kind)
@@ -89,8 +89,8 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", key: str = "doc_id", per_label: int = 3000, longest: int = 20_000, bits: int = BITS) -> Model | None:
     """A model from the texts of docs that labels marks 0 or 1; None without any.
 
-    The fit sees about per_label rows of each label, chosen by a hash of key, less those over `longest`
-    characters: that bounds what reaches the driver. Scoring has no such bounds.
+    The fit sees about per_label rows of each label, chosen by a hash of key, and of a text over `longest` characters
+    a stretch of so many: that bounds what reaches the driver. Scoring has no such bounds.
     """
     got = labelled_sample(docs, labels, label_col, key, text_col, per_label, longest).toPandas().sort_values([key, text_col], kind="stable")
     if not len(got):
@@ -107,8 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """id, score, predicted (1 if score >= threshold) and, if asked for, the text of each row, from its whole text alone.
 
-    Null and empty texts have no words and get the bias's score; without a model each score is 0.5. Every row gives
-    a row; other columns are ignored.
+    Null and empty texts have no words and get the bias's score; without a model each score is 0.5. A score equal to the
+    threshold is predicted 1. Every row gives a row, ids may be null or repeat; other columns are ignored.
     """
     ids = docs.schema[id_col].dataType
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits numbers

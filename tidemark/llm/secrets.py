@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that tags further secrets.
 
 The field labels each word as secret begin, inside or outside, from its shape, the words beside it and features of its
-file. It learns from rows where the patterns match, so what it adds are words that look and stand like those. Decoding
-is by Viterbi over whole texts.
+file. It learns from the pattern matches of a sample, from the same with their key words taken away, and from made-up
+secrets put into the sample's texts, against all other words there, the numbers and addresses above all. So what it
+adds are secrets that no pattern names. Decoding is by Viterbi over whole texts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_sample, coded, slices, sums, texts, words
+from .common import Memo, bounded_sample, coded, slices, stretch, sums, texts, words
 from .quality import shape
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -27,8 +28,10 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Any text with a base span matches this.
 HINT = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 BUCKETS, FILE_BUCKETS, SPAN = 4096, 16, 16
-_KEYWORD = re.compile(r"pass|secret|token|key|auth|cred|pwd", re.I)
+_KEYWORD = re.compile(r"pass|secret|token|key|auth|cred|pwd|bearer|login", re.I)
 _DIGITS = re.compile(r"\d")
+_HEX = re.compile(r"[0-9a-fA-F]{16,}").fullmatch
+FEATURES = 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -57,13 +60,16 @@ def _code(name: tuple) -> int:
 
 def word_features(word: str) -> list[int]:
     """Hashed features of a word: shape, length, mixture of characters, marks and key words in it."""
-    body = word.strip("\"'.,;()[]{}")
+    body = word.strip("\"'.,;()[]{}<>!?#%&*$")
     size, plain = len(body), body.isalpha()
     digits, letters = (0, size) if plain else (len(_DIGITS.findall(body)), sum(map(str.isalpha, body)))
-    kind = shape(body)[:12]
+    kind, length = shape(body), min(size // 4, 12)
+    cased = 0 if plain and body.islower() else (body != body.lower()) + 2 * (body != body.upper())
     return [
-        _code(("shape", kind)), _code(("length", min(size.bit_length(), 8))), _code(("digits", min(digits, 9))), _code(("mixed", digits > 2 and letters > 2)), _code(("upper", body.isupper(), digits > 0)),
-        _code(("variety", min(len(set(body)) // 4, 5), min(size // 8, 6))), _code(("assigns", word[-1:] in ":=", "=" in word[:-1])), _code(("key word", _KEYWORD.search(word) is not None)), _code(("start", body[:2], size > 15)), _code(("quoted", word[:1] in "\"'")),
+        _code(("shape", kind)), _code(("turns", min(len(kind), 24) // 2, length > 3)), _code(("length", length)), _code(("digits", min(digits, 6), 8 * digits // max(size, 1))),
+        _code(("mixed", digits > 1, letters > 1, cased, size - digits - letters > 1)), _code(("cased", cased, digits > 0, length)), _code(("variety", min(len(set(body)) // 4, 8), min(size // 8, 6))),
+        _code(("assigns", word[-1:] in ":=", "=" in word[:-1], ":" in word[:-1], "@" in word, length)), _code(("key word", _KEYWORD.search(word) is not None, length > 2, digits > 0)),
+        _code(("start", body[:2], size > 15)), _code(("quoted", word[:1] in "\"'", "--" in word, "@" in word and ":" not in word)), _code(("hex", _HEX(body) is not None, digits == size, kind.count(".") > 1)),
     ]
 
 
@@ -145,52 +151,146 @@ def word_places(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
 
 
-def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", most: int = 12_000, longest: int = 20_000, quiet: int = 20, rounds: int = 120, rate: float = 0.4, ridge: float = 1e-3) -> Field:
-    """A field from the pattern matches of a sample.
+_LOWERS, _UPPERS, _NUMERALS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Words before a made-up secret; the bare ones suit any, a short password needs a cue.
+_CUES = ("Bearer", "auth =>", "pwd is", "Authorization: Bearer", "credential:", "key", "login with", "passphrase:", "pwd:", "use the key", "signed with", "access key is", "auth", "pwd =", "cred =>")
+
+
+def made_up(rng: np.random.Generator) -> tuple[list[str], list[int]]:
+    """Words that hold a secret without a base pattern, and their labels."""
+
+    def draw(alphabet: str, low: int, high: int) -> str:
+        return "".join(alphabet[k] for k in rng.integers(0, len(alphabet), int(rng.integers(low, high + 1))))
+
+    mixed = _LOWERS + _UPPERS + _NUMERALS
+    kind, cue = int(rng.integers(0, 9)), _CUES[int(rng.integers(0, len(_CUES)))].split()
+    if kind == 0:
+        value = [draw(mixed, 20, 48)]
+    elif kind == 1:
+        value = [draw(mixed + "+/", 22, 64) + "=" * int(rng.integers(0, 3))]
+    elif kind == 2:
+        value = [draw(_LOWERS, 2, 6) + "_-"[int(rng.integers(0, 2))] + draw(mixed, 16, 40)]
+    elif kind == 3:
+        value = [".".join(draw(mixed + "_-", *size) for size in ((18, 40), (30, 120), (20, 44)))]
+    elif kind == 4:
+        value = [draw(_UPPERS + _NUMERALS, 16, 40)]
+    elif kind == 5:
+        value = [draw(mixed + "!@#$%^&*", 9, 18) + draw(_NUMERALS, 1, 2) + draw("!@#$%^&*", 1, 1)]
+    elif kind == 6:
+        value = [f"{draw(_LOWERS, 4, 8)}://{draw(_LOWERS, 4, 9)}:{draw(mixed, 8, 20)}@{draw(_LOWERS, 4, 10)}.{draw(_LOWERS, 3, 8)}"]
+    elif kind == 7:
+        value = ["-".join(draw(mixed, 5, 12) for _ in range(int(rng.integers(3, 6))))]
+    else:
+        name = ("RSA ", "EC ", "")[int(rng.integers(0, 3))]
+        lines = [draw(mixed + "+/", 64, 64) for _ in range(int(rng.integers(2, 7)))]
+        value = [*f"-----BEGIN {name}PRIVATE KEY-----".split(), *lines, draw(mixed + "+/", 10, 60) + "=", *f"-----END {name}PRIVATE KEY-----".split()]
+    if kind in (6, 8) or kind != 5 and rng.random() < 0.35:
+        cue = []
+    mark = int(rng.integers(0, 5))
+    if mark == 0 and kind != 8:
+        value = [f'"{value[0]}"']
+    elif mark == 1 and kind < 5:
+        value = [f"{draw(_UPPERS, 3, 6)}_KEY={value[0]}"]
+    return [*cue, *value], [0] * len(cue) + [1] + [2] * (len(value) - 1)
+
+
+def harmless(rng: np.random.Generator) -> list[str]:
+    """Words that look a little like secrets and are none."""
+
+    def number(n: int) -> str:
+        return "".join(map(str, rng.integers(0, 10, n)))
+
+    def word(n: int) -> str:
+        return "".join(_LOWERS[k] for k in rng.integers(0, 26, n))
+
+    kinds = (
+        lambda: [number(int(rng.integers(5, 20)))], lambda: [".".join(str(x) for x in rng.integers(0, 256, 4))], lambda: [f"{word(int(rng.integers(2, 9)))}.{number(2)}@{word(5)}{number(1)}.{word(7)}.com"], lambda: [f"{word(int(rng.integers(6, 20))).capitalize()}{'&%$#*!'[int(rng.integers(0, 6))] * 3}"], lambda: [f"https://www.{word(7)}.com/{word(5)}/{number(4)}/{word(9)}-{word(4)}.html"],
+        lambda: [f"20{number(2)}-0{number(1)}-1{number(1)}T{number(2)}:{number(2)}:{number(2)}Z"], lambda: [f"+{number(2)}", f"({number(3)})", f"{number(3)}-{number(4)}"], lambda: [f"v{number(1)}.{number(2)}.{number(1)}"], lambda: [f"/{word(3)}/{word(6)}/{word(8)}_{word(5)}.txt"],
+        lambda: [f"{word(5)}{word(6).title()}{word(7).title()}"], lambda: [word(int(rng.integers(13, 30)))], lambda: [word(8).upper(), word(14).upper()], lambda: ["the", "key", "point", "is"], lambda: ["his", "password", "was", word(6)], lambda: ["auth", word(5)], lambda: [f"{word(6)}-{word(5)}-{word(7)}-{word(4)}"], lambda: [f"<{word(4)}>{word(7)}</{word(4)}>"],
+        lambda: ["##", f"{number(2)}%", f"${number(5)}.{number(2)}"], lambda: ["-" * 40], lambda: [f"{word(6)}_{word(7)}_{number(3)}"],
+    )
+    return kinds[int(rng.integers(0, len(kinds)))]()
+
+
+def _marks(own: list[str]) -> np.ndarray:
+    return np.array([[sum(_KEYWORD.search(w) is not None for w in own), sum(len(w) > 12 and bool(_DIGITS.search(w)) for w in own)]], float)
+
+
+def _lessons(text: str, rng: np.random.Generator, made: int) -> list[tuple[list[str], np.ndarray, list[int]]]:
+    """Words, labels and starts of windows to learn from: the text, it without its key words, and it with things put in."""
+    places, spans = word_places(text), base_spans(text)
+    own, labels = [text[a:b] for a, b in places], np.zeros(len(places), np.int64)
+    for a, b, _ in spans:
+        hit = [k for k, (x, y) in enumerate(places) if x < b and y > a]
+        labels[hit] = 2
+        if not hit[0] or not labels[hit[0] - 1]:
+            labels[hit[0]] = 1
+    if not own:
+        return []
+    last = max(0, len(own) - SPAN)
+    odd = [k for k, w in enumerate(own) if not labels[k] and len(w) > 8 and not w.isalpha()]
+    near = [*np.flatnonzero(labels == 1).tolist(), *(odd[int(k)] for k in rng.integers(0, len(odd), 4) if odd)] if odd else np.flatnonzero(labels == 1).tolist()
+    out = [(own, labels, sorted({min(last, max(0, k - int(rng.integers(2, SPAN - 2)))) for k in near} | {int(x) for x in rng.integers(0, last + 1, 2)}))]
+    keep = np.array([not (x and (w[-1:] in ":=" or _KEYWORD.search(w) and not _DIGITS.search(w))) for w, x in zip(own, labels)])
+    if labels.any() and not keep.all():
+        less, bare = [w for w, k in zip(own, keep) if k], labels[keep]
+        bare = np.where((bare == 2) & (np.concatenate([[0], bare[:-1]]) == 0), 1, bare)
+        out.append((less, bare, sorted({max(0, k - int(rng.integers(2, SPAN - 2))) for k in np.flatnonzero(bare == 1).tolist()})))
+    for _ in range(made):
+        at = int(rng.integers(0, len(own) + 1))
+        extra, tags = made_up(rng) if rng.random() < 0.6 else (harmless(rng), [])
+        tags = [*tags, *[0] * (len(extra) - len(tags))]
+        out.append(([*own[:at], *extra, *own[at:]], np.concatenate([labels[:at], tags, labels[at:]]).astype(np.int64), [max(0, at - int(rng.integers(1, SPAN - 2)))]))
+    return out
+
+
+def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", most: int = 12_000, longest: int = 20_000, quiet: int = 20, made: int = 3, rounds: int = 150, rate: float = 0.4, ridge: float = 1e-3) -> Field:
+    """A field from a sample of texts and `made` made-up passages for each.
 
-    The fit sees about `most` rows, chosen by a hash of key among those of at most `longest` characters, and of the
-    ones without a hint one in `quiet`: that bounds what reaches the driver. Scanning has no such bounds.
+    The fit sees about `most` rows, chosen by a hash of key, of a text over `longest` characters a stretch of so many,
+    and of the ones without a hint one in `quiet`: that bounds what reaches the driver. Scanning has no such bounds.
+    Without any text the field tags nothing.
     """
-    rows = docs.where(F.col(key).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(key, text_col, F.lit(1).alias("all"))
-    sample = bounded_sample(rows, "all", key, most).where(F.col(text_col).rlike(HINT) | (F.pmod(F.xxhash64(F.lit("quiet"), F.col(key)), F.lit(quiet)) == 0))
-    got = sample.toPandas().sort_values(key, kind="stable")[text_col].tolist()
-    field, windows = Field(), []
-    rng = np.random.default_rng(11)
-    for text in got:
-        places, spans = word_places(text), base_spans(text)
-        labels = np.zeros(len(places), np.int64)
-        for a, b, _ in spans:
-            own = [k for k, (x, y) in enumerate(places) if x < b and y > a]
-            labels[own] = 2
-            if labels[own[0] - 1 : own[0]].sum() == 0 or own[0] == 0:
-                labels[own[0]] = 1
-        own = [text[a:b] for a, b in places]
-        features = [word_features(w) for w in own]
-        marks = np.array([[sum(_KEYWORD.search(w) is not None for w in own), sum(len(w) > 12 and bool(_DIGITS.search(w)) for w in own)]])
-        starts = {max(0, k - SPAN // 2) for k in np.flatnonzero(labels == 1).tolist()} | {int(x) for x in rng.integers(0, max(1, len(own) - SPAN + 1), 2)}
-        windows += [(features, labels, int(file_bucket(marks)[0]), s) for s in sorted(starts) if own]
-    if not any(labels.any() for _, labels, _, _ in windows):
+    rows = docs.where(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(key, text_col, F.lit(1).alias("all"))
+    sample = bounded_sample(rows, "all", key, most).withColumn(text_col, stretch(text_col, key, longest))
+    sample = sample.where(F.col(text_col).rlike(HINT) | (F.pmod(F.xxhash64(F.lit("quiet"), F.col(key)), F.lit(quiet)) == 0)).select(key, text_col).distinct()
+    rng, numbers, chosen, labels, file = np.random.default_rng(11), {}, [], [], []
+    for text in sample.toPandas().sort_values([key, text_col], kind="stable")[text_col].tolist():
+        for own, tags, starts in _lessons(text, rng, made):
+            bucket = int(file_bucket(_marks(own))[0])
+            for s in starts:
+                part = own[s : s + SPAN]
+                around = [own[s - 1] if s else None, *part, *[None] * (SPAN - len(part)), own[s + SPAN] if s + SPAN < len(own) else None]
+                chosen.append([-1 if w is None else numbers.setdefault(w, len(numbers)) for w in around])
+                y = [*tags[s : s + SPAN].tolist(), *[0] * (SPAN - len(part))]
+                labels.append([1 if y[0] == 2 else y[0], *y[1:]])
+                file.append(bucket)
+    return _trained(list(numbers), np.array(chosen, np.int64).reshape(-1, SPAN + 2), np.array(labels, np.int64).reshape(-1, SPAN), np.array(file, np.int64), rounds, rate, ridge)
+
+
+def _trained(distinct: list[str], chosen: np.ndarray, y: np.ndarray, file: np.ndarray, rounds: int, rate: float, ridge: float) -> Field:
+    """A field by gradient ascent of the likelihood of the labels y of windows; chosen: numbers of their words and of one on each side, -1 for none."""
+    field, n = Field(), len(y)
+    if not n:
         field.step[:, 1:] = -1.0  # nothing to learn from: everything is outside
         field.file[:, 0] = 10.0
         return field
-    n = len(windows)
-    f = np.zeros((3, n, SPAN, 10), np.int64)  # own, before, after
-    has, y, file = np.zeros((3, n, SPAN), bool), np.zeros((n, SPAN), np.int64), np.array([w[2] for w in windows])
-    for k, (features, labels, _, s) in enumerate(windows):
-        for t in range(min(SPAN, len(features) - s)):
-            for d, at in enumerate((s + t, s + t - 1, s + t + 1)):
-                if 0 <= at < len(features):
-                    f[d, k, t], has[d, k, t] = features[at], True
-            y[k, t] = labels[s + t]
-        if y[k, 0] == 2:
-            y[k, 0] = 1
+    f = np.array([word_features(w) for w in distinct]).reshape(-1)
+    spans = [chosen[:, 1:-1], chosen[:, :-2], chosen[:, 2:]]  # own, before, after
+    inside = spans[0] >= 0
+    has = [(x >= 0) & inside for x in spans]
     sizes = [np.zeros_like(p) for p in field.parts()]
-    inside = has[0]
     block = np.zeros((3, 3))
     block[0, 2] = -1e4
-    rows_, onehot = np.arange(n), np.eye(3)
+    rows, onehot = np.arange(n), np.eye(3)
+
+    def tally(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(at, values[:, k], size) for k in range(3)], axis=1)
+
     for _ in range(rounds):
-        e = field.file[file][:, None, :] + sum(w[f[d]].sum(axis=2) * has[d][..., None] for d, w in enumerate((field.own, field.before, field.after)))
+        e = np.repeat(field.file[file][:, None, :], SPAN, axis=1)
+        for x, h, w in zip(spans, has, (field.own, field.before, field.after)):
+            e += w[f].reshape(-1, FEATURES, 3).sum(axis=1)[x] * h[..., None]
         step = field.step + block
         first = e[:, 0].copy()
         first[:, 2] -= 1e4
@@ -202,14 +302,15 @@ def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", most: int
         alpha, beta = np.stack(alpha, axis=1), np.stack(beta[::-1], axis=1)
         z = np.logaddexp.reduce(alpha[:, -1], axis=1)
         gap = (onehot[y] - np.exp(alpha + beta - z[:, None, None])) * inside[..., None]
-        gs = [np.zeros_like(p) for p in field.parts()]
-        for d in range(3):
-            np.add.at(gs[d], f[d][has[d]], gap[has[d]][:, None, :])
-        np.add.at(gs[3], file, gap.sum(axis=1))
+        gs = []
+        for x, h in zip(spans, has):
+            of_words = tally(x[h], gap[h], len(distinct))
+            gs.append(tally(f, np.repeat(of_words, FEATURES, axis=0), BUCKETS))
+        gs += [tally(file, gap.sum(axis=1), FILE_BUCKETS), np.zeros((3, 3))]
         for t in range(1, SPAN):
             pair = np.exp(alpha[:, t - 1, :, None] + step + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
             seen = np.zeros((n, 3, 3))
-            seen[rows_, y[:, t - 1], y[:, t]] = 1
+            seen[rows, y[:, t - 1], y[:, t]] = 1
             gs[4] += ((seen - pair) * inside[:, t, None, None]).sum(axis=0)
         for p, g, s in zip(field.parts(), gs, sizes):
             g = g / n - ridge * p / max(1, len(p) // 64)
@@ -242,7 +343,8 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     """id, found: the spans (kind, start, end) of each row's whole text, by start and kind.
 
     Places are code points, end exclusive. Pattern matches always stay; the field adds runs of words that overlap none.
-    Null and empty texts have no spans; every row gives a row; other columns are ignored.
+    Spans of the same start go by kind. Null and empty texts have no spans; every row gives a row, ids may be null or
+    repeat; other columns are ignored.
     """
     ids = docs.schema[id_col].dataType
     shipped = docs.sparkSession.sparkContext.broadcast(field)  # of a fixed size

@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Token weights are log-odds of toxic against clean rows with an informative Dirichlet prior (Monroe et al., 2008). A
-linear-time scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments of a text. A segment of score s among n
+Token weights are log-odds of toxic against clean rows with an informative Dirichlet prior (Monroe et al., 2008): those
+of significantly toxic tokens count for a passage, those of tokens typical of clean rows against it, and each word
+that is not toxic costs a constant besides, so that passages end. A linear-time scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments of a text. A segment of score s among n
 words is expected K n exp(-lambda s) times by chance (Karlin and Altschul, 1990); the surprise of the significant
 ones adds up to the text's evidence, and a logistic curve turns that into a score.
 """
@@ -62,15 +63,18 @@ class Model:
         self.weight, self.rest, self.lam, self.k, self.curve = weight, rest, lam, k, curve
 
     def words(self, distinct: list[str]) -> np.ndarray:
-        get, rest = self.weight.get, self.rest
-        return np.array([[max((get(x, rest) for x in keys(w)), default=rest)] for w in distinct]).reshape(-1, 1)
+        get, rest, out = self.weight.get, self.rest, np.zeros((len(distinct), 1))
+        for k, w in enumerate(distinct):
+            own = [get(x, 0.0) for x in keys(w)]
+            top = max(own, default=0.0)
+            out[k] = top if top > 0 else rest + (own[0] if own else 0.0)
+        return out
 
     def passages(self, column: pa.Array, memo: Memo) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Words in each text, and its significant segments (first word, end, surprise)."""
         offsets, flat = words(column)
         codes, distinct = coded(flat)
         scores = memo(distinct)[codes, 0] if distinct else np.zeros(0)
-        scores[1:][codes[1:] == codes[:-1]] = 0.0  # a word said again at once adds nothing
         n, out = np.diff(offsets), [[] for _ in range(len(column))]
         hot = np.unique(np.searchsorted(offsets, np.flatnonzero(scores > 0), "right") - 1)
         for t in hot.tolist():
@@ -87,16 +91,21 @@ class Model:
 
 
 def log_odds(toxic: Counter, clean: Counter, prior: float = 500.0, least_z: float = 3.0, least: float = 3.0) -> dict[str, float]:
-    """Log-odds, less a standard error, of the tokens that are significantly toxic; counts are of texts that have them."""
+    """Log-odds of tokens, a standard error nearer to zero; counts are of texts that have them.
+
+    Above zero are only the significantly toxic ones, below zero those of which a standard error leaves something.
+    """
     n1, n0 = sum(toxic.values()), sum(clean.values())
     out = {}
-    for w, y1 in toxic.items():
-        y0 = clean.get(w, 0)
+    for w in toxic.keys() | clean.keys():
+        y1, y0 = toxic.get(w, 0), clean.get(w, 0)
         a = 0.5 + prior * (y1 + y0) / (n1 + n0)
         delta = np.log((y1 + a) / (n1 + prior - y1)) - np.log((y0 + a) / (n0 + prior - y0))
         error = np.sqrt(1 / (y1 + a) + 1 / (y0 + a))
         if delta / error > least_z and delta - error > least:
             out[w] = float(delta - error)
+        elif delta + error < 0:
+            out[w] = float(delta + error)
     return out
 
 
@@ -114,8 +123,8 @@ def decay(values: np.ndarray, share: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", key: str = "doc_id", per_label: int = 6000, longest: int = 20_000, rest: float = -0.7) -> Model | None:
     """A model from the texts of docs that labels marks 0 or 1; None without any.
 
-    The fit sees about per_label rows of each label, chosen by a hash of key, less those over `longest`
-    characters: that bounds what reaches the driver. Scoring has no such bounds.
+    The fit sees about per_label rows of each label, chosen by a hash of key, and of a text over `longest` characters
+    a stretch of so many: that bounds what reaches the driver. Scoring has no such bounds.
     """
     got = labelled_sample(docs, labels, label_col, key, text_col, per_label, longest).toPandas().sort_values([key, text_col], kind="stable")
     if not len(got):
@@ -130,11 +139,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
     model = Model(weight, rest, 1.0, 1.0, (1.0, 0.0))
     distinct = list(counts)
     values, share = (model.words(distinct)[:, 0], np.array([counts[w] for w in distinct], float)) if distinct else (np.array([rest]), np.ones(1))
-    high = max(weight.values(), default=1.0)
+    toxic = [x for x in weight.values() if x > 0]
+    high = max(toxic, default=1.0)
     values, share = np.append(values, high), np.append(share, 1.0)  # a chance hit that the sample happens to lack
     model.lam = decay(values, share / share.sum())
     # K by the mean number of segments of clean texts over their expected number at the least positive score.
-    model.k = max(1e-3, float((share * (values > 0)).sum() / share.sum() * np.exp(model.lam * max(min(weight.values(), default=1.0), 0.1))))
+    model.k = max(1e-3, float((share * (values > 0)).sum() / share.sum() * np.exp(model.lam * max(min(toxic, default=1.0), 0.1))))
     memo, x = Memo(model.words, 1), []
     for at in range(0, len(got), 500):
         x += [sum(s for _, _, s in own) for own in model.passages(pa.array(got[text_col][at : at + 500], pa.string()), memo)[1]]
@@ -157,7 +167,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col:
     """id, score, predicted (1 if score >= threshold), evidence, passages of each row, from its whole text alone.
 
     passages: first word, end (exclusive) and surprise of each significant segment, in order. Null and empty texts
-    have none. Without a model each score is 0. Every row gives a row; other columns are ignored.
+    have none. Without a model each score is 0. A score equal to the threshold is predicted 1. Every row gives a row,
+    ids may be null or repeat; other columns are ignored.
     """
     ids = docs.schema[id_col].dataType
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # the significant tokens of a bounded sample
