@@ -222,9 +222,10 @@ def test_substring_dedup(spark, docs):
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
-def test_substring_dedup_of_repeated_rows():
+def test_packed_places_of_repeated_rows():
     doc, place = np.array([5, 5, 5, 5, 5, 5]), np.array([3, 9, 20, 3, 9, 20])
-    assert [x.tolist() for x in substring_dedup._unrow(*substring_dedup._row(0, b"", doc, place)[2:])] == [doc.tolist(), place.tolist()]
+    for kind in (np.zeros(6, np.int64), np.array([7, 7, 7, -9, -9, -9])):
+        assert [x.tolist() for x in substring_dedup._unrow(*substring_dedup._row(0, b"", doc, kind, place)[2:])] == [doc.tolist(), kind.tolist(), place.tolist()]
 
 
 def test_substring_dedup_of_an_id_with_several_rows(spark):

@@ -2,7 +2,8 @@
 
 A seed is a fixed mask over consecutive words: positions that it ignores may differ. Hashes of benchmark and document
 words under the same mask are joined; around each hit the overlap is extended both ways and verified, so that passages
-with substituted words are found.
+with substituted words are found. What a hit carries of its texts reaches AROUND words each way; overlaps that go on
+beyond are verified again on the whole texts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, coded, inside, mix, slices, texts, word_hashes, words
+from .common import Memo, coded, cut, inside, mix, slices, texts, word_hashes, words
 
 #: The masks, 1 for a word that counts. Of any 13 words or more with four fifths equal, one finds six.
 MASKS = ("111111", "11010111", "110100001011", "10101100101")
@@ -23,6 +24,8 @@ FILTER_BITS, PROBES = 24, 3
 AROUND = 256
 #: Packed benchmark windows, in bytes, up to which they are broadcast; larger ones are joined by a merge.
 BROADCAST = 64 << 20
+#: Overlaps that go on, in rows of a few numbers, up to which they are broadcast to the documents; more are joined.
+FEW = 1 << 20
 
 
 def normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -50,8 +53,9 @@ def _memo() -> Memo:
     return Memo(lambda w: word_hashes(w)[:, None], 1, np.uint64)
 
 
-def overlap(doc: np.ndarray, at: int, item: np.ndarray, place: int, span: int, slack: int) -> tuple[int, int, int]:
-    """The best stretch through a hit, of equal words +1 and others -2: item words from, to, and how many are equal.
+def overlap(doc: np.ndarray, at: int, item: np.ndarray, place: int, span: int, slack: int) -> tuple[int, int, int, bool, bool]:
+    """The best stretch through a hit, of equal words +1 and others -2: item words from, to, how many are equal, and
+    whether the search ended before the texts did, on the left and on the right.
 
     Each way it ends where the score falls `slack` below its best, or where a text ends.
     """
@@ -64,11 +68,11 @@ def overlap(doc: np.ndarray, at: int, item: np.ndarray, place: int, span: int, s
         best = np.maximum.accumulate(np.maximum(total, 0))
         stop = np.flatnonzero(best - total >= slack)
         total = total[: stop[0]] if len(stop) else total
-        return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
+        return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0, len(stop) > 0
 
-    a = place - reach(value[: place - low][::-1])
-    b = place + span + reach(value[place + span - low :])
-    return a, b, int(same[a - low : b - low].sum())
+    left, right = reach(value[: place - low][::-1]), reach(value[place + span - low :])
+    a, b = place - left[0], place + span + right[0]
+    return a, b, int(same[a - low : b - low].sum()), left[1], right[1]
 
 
 def run_length(n: np.ndarray, share: float) -> np.ndarray:
@@ -91,15 +95,26 @@ def window(doc: np.ndarray, at: int, item: np.ndarray, place: int, length: int,
     return (low + a, low + b, int(same[a:b].sum())) if total[b] - total[a] >= -1e-9 else None
 
 
+def verified(doc: np.ndarray, at: int, item: np.ndarray, place: int, n: int, span: int, least: int, share: float, slack: int) -> tuple[tuple[int, int, int] | None, bool, bool]:
+    """The stretch (item words from, to, equal ones) through a hit that is an overlap, if any, and where the search ended, as in overlap.
+
+    n: words of the whole item, of which `item` may be a part.
+    """
+    a, b, same, *ended = overlap(doc, at, item, place, span, slack)
+    found = (a, b, same) if b - a >= min(least, n) and same >= share * (b - a) - 1e-9 else window(doc, at, item, place, min(least, n), share)
+    return found, *ended
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, slack: int = 9, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item, doc_start, item_start, n_words, n_equal: for each document and item its longest verified overlap.
 
     An overlap is a stretch of aligned words of which `share` or more are equal, `least` words long or as long as the
     item, if that is shorter. With `least` of 13 or more and a share of 0.8 or more none is missed: an item of 13 words or
     more is found by MASKS, a shorter one by a run of words that it must share, down to one word. Where the stretch of
-    best score is too short, that of at least the length asked for counts. Words are runs of letters and digits in lower
-    case. Null and empty texts and rows with a null id or item match nothing. Documents without an
-    overlap give no row; an id with several rows gives one for each item; other columns are ignored.
+    best score is too short, that of at least the length asked for counts. Of equally long ones with as many equal words
+    the first counts. Words are runs of letters and digits in lower case. Null and empty texts and rows with a null id or
+    item match nothing; rows that share an id count as one document or item. Documents without an overlap give no row;
+    other columns are ignored.
     """
     ids, items = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     context = docs.sparkSession.sparkContext
@@ -144,29 +159,66 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
                         own = hit[a : a + 4096]
                         r, p = row[own], place[own]
                         start, end = np.maximum(offsets[r], offsets[r] + p - around), np.minimum(offsets[r + 1], offsets[r] + p + around)
-                        yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(np.full(len(own), k, np.int32)), batch["_id"].take(pa.array(r)), pa.array(p), pa.array(offsets[r] + p - start), pa.array([h[x:y].tobytes() for x, y in zip(start, end)], pa.binary())], ["key", "mask", "id", "place", "at", "near"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(np.full(len(own), k, np.int32)), batch["_id"].take(pa.array(r)), pa.array(p), pa.array(offsets[r] + p - start), pa.array(np.diff(offsets)[r]), pa.array([h[x:y].tobytes() for x, y in zip(start, end)], pa.binary())], ["key", "mask", "id", "place", "at", "words", "near"])
 
-    kind = f"key long, mask int, id {ids.simpleString()}, place long, at long, near binary"
+    kind = f"key long, mask int, id {ids.simpleString()}, place long, at long, words long, near binary"
     hits = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(of_docs, kind)
 
+    seed = [len(m) for m in (*MASKS, *SHORT)]
+    columns = ["id", "item", "doc_start", "item_start", "n_words", "n_equal", "goes_on", "place", "item_place", "span"]
+    kind = f"id {ids.simpleString()}, item {items.simpleString()}, doc_start long, item_start long, n_words long, n_equal long, goes_on boolean, place long, item_place long, span int"
+
+    def rows_of(batch, out):
+        """The rows of a batch that gave a result (start in the document, in the item, words, equal, goes on, hit's places and span)."""
+        chosen = pa.array([k for k, x in enumerate(out) if x], pa.int64())
+        got = [x for x in out if x]
+        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([batch["id"].take(chosen), batch["item"].take(chosen), *(pa.array([x[k] for x in got], t) for k, t in enumerate(kinds))], columns)
+
     def verify(batches):
         for batch in batches:
             out = []
-            for mask, place, at, near, item_place, item_at, n, item_near in zip(*(batch[c].to_pylist() for c in ("mask", "place", "at", "near", "item_place", "item_at", "item_words", "item_near"))):
-                a, b, same = overlap(np.frombuffer(near, np.uint64), at, np.frombuffer(item_near, np.uint64), item_at, len([*MASKS, *SHORT][mask]), slack)
-                good = b - a >= min(least, n) and same >= share * (b - a) - 1e-9
-                if not good and (whole := window(np.frombuffer(near, np.uint64), at, np.frombuffer(item_near, np.uint64), item_at, min(least, n), share)):
-                    good, (a, b, same) = True, whole
-                out.append((place + a - item_at, item_place + a - item_at, b - a, same) if good else None)
-            keep = np.array([x is not None for x in out], bool)
-            kept = np.array([x for x in out if x], np.int64).reshape(-1, 4)
-            chosen = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch["id"].take(chosen), batch["item"].take(chosen), *(pa.array(kept[:, k]) for k in range(4))], ["id", "item", "doc_start", "item_start", "n_words", "n_equal"])
-
-    kind = f"id {ids.simpleString()}, item {items.simpleString()}, doc_start long, item_start long, n_words long, n_equal long"
+            for mask, place, at, m, near, item_place, item_at, n, item_near in zip(*(batch[c].to_pylist() for c in ("mask", "place", "at", "words", "near", "item_place", "item_at", "item_words", "item_near"))):
+                doc, item = np.frombuffer(near, np.uint64), np.frombuffer(item_near, np.uint64)
+                good, left, right = verified(doc, at, item, item_at, n, seed[mask], least, share, slack)
+                goes_on = not left and min(at, item_at) < min(place, item_place) or not right and min(len(doc) - at, len(item) - item_at) < min(m - place, n - item_place)
+                out.append((place + good[0] - item_at, item_place + good[0] - item_at, good[1] - good[0], good[2], goes_on, place, item_place, seed[mask]) if good else None)
+            best: dict[tuple, int] = {}  # of the hits of a pair, and of its stretches that go on, one is enough
+            for k, own in enumerate(zip(batch["id"].to_pylist(), batch["item"].to_pylist())):
+                if x := out[k]:
+                    own = (*own, x[5] - x[6], x[5] // AROUND) if x[4] else own
+                    if own in best and (x[3], x[2], -x[0], -x[1]) <= (lambda y: (y[3], y[2], -y[0], -y[1]))(out[best[own]]):
+                        out[k] = None
+                    elif own in best:
+                        out[best[own]] = None
+                    if out[k]:
+                        best[own] = k
+            yield rows_of(batch, out)
+
     # Spark cannot know how large the benchmark's windows are, so they are measured.
     size = known.agg(F.coalesce(F.sum(F.octet_length("item_near") + 64), F.lit(0))).first()[0]
     known = F.broadcast(known) if size <= BROADCAST else known.hint("merge")
-    found = hits.join(known, ["key", "mask"]).select("mask", "id", "place", "at", "near", "item", "item_place", "item_at", "item_words", "item_near").mapInArrow(verify, kind)
+    found = cut(hits.join(known, ["key", "mask"]).select("mask", "id", "place", "at", "words", "near", "item", "item_place", "item_at", "item_words", "item_near").mapInArrow(verify, kind))
+    # One hit of each AROUND places of a diagonal stands for the others there, as it leads to the same stretch.
+    on = found.where("goes_on").groupBy("id", "item", (F.col("place") - F.col("item_place")).alias("_"), F.floor(F.col("place") / AROUND).alias("__")).agg(F.min(F.struct("place", "item_place", "span")).alias("hit")).select("id", "item", "hit.*")
+    open_hits = on.count()
+
+    def again(batches):
+        memo = _memo()
+        for whole in batches:
+            for batch in slices(whole, "_text", 2 << 20):
+                (at, h), (item_at, g), out = _hashed(batch, memo), _hashed(batch.select(["_item_text"]).rename_columns(["_text"]), memo), []
+                for k, (place, item_place, span) in enumerate(zip(*(batch[c].to_pylist() for c in ("place", "item_place", "span")))):
+                    doc, item = h[at[k] : at[k + 1]], g[item_at[k] : item_at[k + 1]]
+                    fits = place + span <= len(doc) and item_place + span <= len(item)  # else it is another row of the id
+                    good = fits and verified(doc, place, item, item_place, len(item), span, least, share, slack)[0]
+                    out.append((place + good[0] - item_place, good[0], good[1] - good[0], good[2], False, place, item_place, span) if good else None)
+                yield rows_of(batch, out)
+
+    if open_hits:
+        on = F.broadcast(on) if open_hits <= FEW else on
+        texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(on, "id")
+        whole = texts_of.join(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("_item_text")), "item")
+        found = found.unionByName(whole.select("id", "item", "place", "item_place", "span", "_text", "_item_text").mapInArrow(again, kind))
     best = F.max(F.struct("n_equal", "n_words", (-F.col("doc_start")).alias("back"), (-F.col("item_start")).alias("item_back"))).alias("m")
     return found.groupBy("id", "item").agg(best).select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("m.back")).alias("doc_start"), (-F.col("m.item_back")).alias("item_start"), F.col("m.n_words").alias("n_words"), F.col("m.n_equal").alias("n_equal"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, coded, components, cut, inside, mix, parts, rolling, slices, sums, texts, word_hashes, words
+from .common import Memo, coded, components, cut, inside, mix, parts, rolling, slices, spread_join, sums, texts, word_hashes, words
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # shift and bits
@@ -175,7 +175,7 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     """
     names = [c for c in prints.columns if c.startswith("fp")]
     prints = cut(prints)
-    reps = cut(prints.groupBy(*names).agg(F.min(id_col).alias("rep")).where("rep is not null"))
+    reps = cut(prints.groupBy(*names).agg(F.min(id_col).alias("rep"), F.count("*").alias("size")).where("rep is not null"))
     n = parts(reps, 1 << 20)
 
     def emit(batches):
@@ -197,8 +197,8 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     long = ", ".join(f"{c} long" for c in names)
     edges = reps.select(F.col("rep").cast("long"), *names).mapInArrow(emit, f"key long, rep long, {long}").repartition(n, "key").mapInArrow(meet, "a long, b long")
     found = components(edges)
-    owner = reps.join(found, F.col("rep") == F.col("id"), "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(owner, names, "left").select(id_col, *names, "component_id")
+    owner = reps.join(found, F.col("rep") == F.col("id"), "left").select(*names, "size", F.coalesce("component", "rep").alias("component_id"))
+    return spread_join(prints, owner, names, "size", prints.count()).select(id_col, *names, "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +319,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
                 yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(digests(*own).view(np.int64)), *(pa.array(made[:, k].copy().view(np.int64)) for k in range(PRINTS)), pa.array([b.tobytes() for b in bands], pa.binary())], ["_id", "node", *names, "bands"])
 
     prints = cut(rows.mapInArrow(sketch, f"_id {ids}, node long, " + ", ".join(f"{c} long" for c in names) + ", bands binary"))
-    reps = cut(prints.groupBy("node").agg(F.min("_id").cast("long").alias("rep"), *(F.first(c).alias(c) for c in [*names, "bands"])).where("rep is not null"))
+    reps = cut(prints.groupBy("node").agg(F.min("_id").cast("long").alias("rep"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in [*names, "bands"])).where("rep is not null"))
     n = parts(reps, 1 << 20)
 
     def emit(batches):
@@ -375,5 +375,5 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
 
     own = rows.where("_id is not null").select(bit("_id").alias("bit"), "_text").mapInArrow(sets, "id long, shingles binary")
     found = own.join(near, "id").repartition(n, "component").mapInArrow(verify, "node long, component_id long")
-    owner = reps.select("node", "rep").join(found, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.select("_id", "node").join(owner, "node", "left").select(F.col("_id").alias(id_col), "component_id")
+    owner = reps.select("node", "rep", "size").join(found, "node", "left").select("node", "size", F.coalesce("component_id", "rep").alias("component_id"))
+    return spread_join(prints.select("_id", "node"), owner, ["node"], "size", prints.count()).select(F.col("_id").alias(id_col), "component_id")
