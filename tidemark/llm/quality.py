@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, coded, labelled_sample, mix, slices, sums, texts, word_hashes, words
 
@@ -122,4 +123,5 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col:
                 yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(p), pa.array((p >= threshold).astype(np.int32)), *[batch["_text"]] * keep_text], ["_id", "score", "predicted", *["text"] * keep_text])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(apply, f"_id {ids.simpleString()}, score double, predicted int" + ", text string" * keep_text).withColumnRenamed("_id", id_col)
+    kind = T.StructType().add("_id", ids).add("score", "double").add("predicted", "integer")
+    return rows.mapInArrow(apply, kind.add("text", "string") if keep_text else kind).withColumnRenamed("_id", id_col)

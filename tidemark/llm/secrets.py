@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, bounded_sample, coded, slices, stretch, sums, texts, words
 from .quality import shape
@@ -244,8 +245,8 @@ def _lessons(text: str, rng: np.random.Generator, made: int) -> list[tuple[list[
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", most: int = 12_000, longest: int = 20_000, quiet: int = 20, made: int = 3, rounds: int = 150, rate: float = 0.4, ridge: float = 1e-3) -> Field:
-    """A field from a sample of texts and `made` made-up passages for each.
+def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", most: int = 12_000, longest: int = 20_000, quiet: int = 20, made: int = 4000, rounds: int = 150, rate: float = 0.4, ridge: float = 1e-3) -> Field:
+    """A field from a sample of texts and about `made` made-up passages put into them.
 
     The fit sees about `most` rows, chosen by a hash of key, of a text over `longest` characters a stretch of so many,
     and of the ones without a hint one in `quiet`: that bounds what reaches the driver. Scanning has no such bounds.
@@ -255,8 +256,9 @@ def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", most: int
     sample = bounded_sample(rows, "all", key, most).withColumn(text_col, stretch(text_col, key, longest))
     sample = sample.where(F.col(text_col).rlike(HINT) | (F.pmod(F.xxhash64(F.lit("quiet"), F.col(key)), F.lit(quiet)) == 0)).select(key, text_col).distinct()
     rng, numbers, chosen, labels, file = np.random.default_rng(11), {}, [], [], []
-    for text in sample.toPandas().sort_values([key, text_col], kind="stable")[text_col].tolist():
-        for own, tags, starts in _lessons(text, rng, made):
+    got = sample.toPandas().sort_values([key, text_col], kind="stable")[text_col].tolist()
+    for text in got:
+        for own, tags, starts in _lessons(text, rng, -(-made // len(got))):
             bucket = int(file_bucket(_marks(own))[0])
             for s in starts:
                 part = own[s : s + SPAN]
@@ -376,7 +378,7 @@ def cover(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """docs with the spans of each text covered; a null text stays null, rows without spans stay as they are."""
     rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*(F.col(c) for c in rest)).alias("_rest"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col(text_col).alias("_text"))
     shipped = docs.sparkSession.sparkContext.broadcast(field)
 
     def apply(batches):
@@ -393,5 +395,5 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
                     column = pa.array(own, pa.string())
                 yield pa.RecordBatch.from_arrays([batch["_rest"], column], ["_rest", "_text"])
 
-    covered = rows.mapInArrow(apply, f"_rest {rows.schema['_rest'].dataType.simpleString()}, _text string")
+    covered = rows.mapInArrow(apply, T.StructType().add("_rest", rows.schema["_rest"].dataType).add("_text", "string"))
     return covered.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
