@@ -237,9 +237,9 @@ def ols(spark, sf_dir):
     return panel.least_squares(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"]).select("term", F.round("coef", 3).alias("coef"))
 
 
-@query("SELECT y::INT AS year, m::INT AS month, CASE WHEN y <= 2000 THEN 'https://old.example/' ELSE 'https://example/' END || y || '/' || lower(monthname(make_date(y, m, 1))) AS url FROM generate_series(1997, 2005) a(y), generate_series(1, 12) b(m) WHERE (y, m) NOT IN (SELECT (year(o_orderdate), month(o_orderdate)) FROM orders WHERE o_custkey % 40 = 1)")
+@query("SELECT y::INT AS year, m::INT AS month, CASE WHEN y <= 2000 THEN 'https://old.example/' ELSE 'https://example/' END || y || '/' || lower(monthname(make_date(y, m, 1))) AS url FROM generate_series(1997, 2005) a(y), generate_series(1, 12) b(m) WHERE (y, m) NOT IN (SELECT (year(o_orderdate), month(o_orderdate)) FROM orders)")
 def gap_generation(spark, sf_dir):
-    seen = table(spark, sf_dir, "orders").where("o_custkey % 40 = 1").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).distinct()
+    seen = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).distinct()
     return web.month_gaps(spark, seen, 1997, 2005, "https://example/{year}/{month}", "https://old.example/{year}/{month}")
 
 
@@ -297,3 +297,6 @@ def verdict_flips(spark, sf_dir):
     after = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("long").alias("q"))
     before = after.withColumn("q", F.when(F.col("doc_id") % 2 == 0, 1 - F.col("q")).otherwise(F.col("q")))
     return dedup.flips(before, after, "doc_id", "q")
+
+
+from tidemark import catalog_records, catalog_series  # noqa: E402, F401  (they register their queries here)

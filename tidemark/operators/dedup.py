@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import day_gap
 
 
 def keep_first(rows: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order (ascending, nulls first): an aggregate, so copies go before the shuffle."""
     keys = [key] if isinstance(key, str) else key
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order))))
+    return rows.groupBy(*keys).agg(first.alias("_first")).select(*(F.col(f"_first.`{c}`").alias(c) for c in rows.columns))
 
 
 def merge_new(existing: DataFrame, incoming: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -46,3 +46,15 @@ def unique_surnames(names: DataFrame, name: str) -> DataFrame:
     """surname, full_name of the surnames that one person has."""
     last = F.element_at(F.split(F.translate(F.col(name), "-", " "), r"\s+"), -1)
     return names.select(last.alias("surname"), F.col(name).alias("full_name")).groupBy("surname").agg(F.min("full_name").alias("full_name"), F.count_distinct("full_name").alias("n")).where("n = 1").drop("n")
+
+
+def title_speaker(rows: DataFrame, names: DataFrame, title: str, author: str) -> DataFrame:
+    """rows with the author replaced by the person whose surname, which nobody on names(name) shares, the title has as a word.
+
+    Where a title names several, the one that stands first counts; titles without any keep their author.
+    """
+    known = unique_surnames(names, "name")
+    words = rows.withColumn("_row", F.monotonically_increasing_id())
+    said = words.select("_row", F.posexplode(F.split(F.col(title), r"[^\p{L}'’]+")).alias("_at", "surname")).join(F.broadcast(known), "surname")  # a roster of names
+    first = said.groupBy("_row").agg(F.min_by("full_name", "_at").alias("_named"))
+    return words.join(first, "_row", "left").withColumn(author, F.coalesce("_named", author)).select(*rows.columns)

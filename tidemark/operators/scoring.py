@@ -45,6 +45,52 @@ def lexicon_judge(pairs: DataFrame, a: str, b: str, key: Column) -> DataFrame:
     return pairs.withColumn("winner", F.when(x > y, "A").when(x < y, "B").otherwise(tie)).withColumn("confidence", F.lit(0.5))
 
 
+def model_judge(post, **how):
+    """A judge of pairs by a model: prompts from both texts and macro contexts, replies read as verdicts; failures have no winner.
+
+    post and how are those of sources.web.ask.
+    """
+    from tidemark.functions.replies import verdict
+    from tidemark.functions.text import judge_prompt
+    from tidemark.sources.web import ask
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        asked = pairs.withColumn("_prompt", judge_prompt(F.col("a_text"), F.col("a_macro"), F.col("b_text"), F.col("b_macro")))
+        got = ask(asked.select("a", "b", "_prompt"), "_prompt", post, **how).withColumn("_verdict", verdict(F.col("reply")))
+        return got.select("a", "b", F.col("_verdict.winner").alias("winner"), F.col("_verdict.confidence").alias("confidence"))
+
+    return judge
+
+
+def model_direct(docs: DataFrame, text: str, post, **how) -> DataFrame:
+    """docs with direct_score by a model where it is null; a failure leaves it null."""
+    from tidemark.functions.replies import internal_score, signed_score
+    from tidemark.functions.text import excerpt, score_prompt
+    from tidemark.schema import COMMITTEE
+    from tidemark.sources.web import ask
+
+    macro = F.col("macro") if "macro" in docs.columns else F.lit(None).cast("string")
+    whole = F.coalesce(F.col("source_type").isin(*COMMITTEE), F.lit(False))
+    todo = docs.where(F.col("direct_score").isNull()).select("id", score_prompt(excerpt(F.col(text), 2000, whole), macro).alias("_prompt"))
+    got = ask(todo, "_prompt", post, **how).select("id", F.round(internal_score(signed_score(F.col("reply"))), 2).alias("_score"))
+    return docs.join(got, "id", "left").select(*(F.coalesce(c, "_score").alias(c) if c == "direct_score" else F.col(c) for c in docs.columns))
+
+
+def translated(docs: DataFrame, text: str, key: str, language: str, post, most: int = 6000, **how) -> DataFrame:
+    """docs with the texts of other languages than English put into English by a model, paragraph chunk by chunk, and `translated`.
+
+    A document of which a chunk fails keeps its text.
+    """
+    from tidemark.functions.text import chunks
+    from tidemark.sources.web import ask
+
+    foreign = docs.where(F.coalesce(F.col(language), F.lit("en")) != "en")
+    asked = ask(foreign.select(key, F.posexplode(chunks(F.col(text), most)).alias("_at", "_chunk")), "_chunk", post, **how)
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "reply"))), lambda x: x["reply"]), "\n\n")
+    done = asked.groupBy(key).agg(F.when(F.count("error") == 0, parts).alias("_english"))
+    return docs.drop("translated").join(done, key, "left").withColumn("translated", F.col("_english").isNotNull()).withColumn(text, F.coalesce("_english", text)).drop("_english")
+
+
 def lexicon_direct(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("direct_score", F.round(lexicon_score(F.col(text)), 2))
 

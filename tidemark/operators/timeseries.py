@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(probes: DataFrame, series: DataFrame, by: Sequence[str], at: str, ts: str, value: str, strict: bool = False, out: str = "value", lag_days: int = 0) -> DataFrame:
+def as_of(probes: DataFrame, series: DataFrame, by: Sequence[str], at: str, ts: str, value: str, strict: bool = False, out: str = "value", lag_days: int = 0, bucket_days: int = 32) -> DataFrame:
     """probes with the last value of the series at or before `at` (before it, if strict); null without one.
 
-    One union, one exchange on `by` and one sort, whatever the sizes; no candidate pair is made. lag_days delays
-    observations, as by the time to their publication.
+    Both sides are dealt by key and stretch of `bucket_days`, so a few series over a long time are many tasks; each
+    stretch opens with the last value of those before, found on one row for each of them. No candidate pair is made.
+    lag_days delays observations, as by the time to their publication.
     """
     fields = F.struct(*(F.col(c) for c in probes.columns))
     left = probes.select(*by, F.col(at).cast("timestamp").alias("_at"), F.lit(0 if strict else 1).alias("_side"), fields.alias("_row"), F.lit(None).cast(series.schema[value].dataType).alias("_v"))
     moved = F.col(ts).cast("timestamp") + F.make_interval(days=F.lit(lag_days)) if lag_days else F.col(ts).cast("timestamp")
     right = series.where(F.col(value).isNotNull()).select(*by, moved.alias("_at"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*by).orderBy("_at", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_row is not null").select("_row.*", F.col("_last").alias(out))
+    both = left.unionByName(right).withColumn("_stretch", F.floor(F.unix_seconds("_at") / (86400 * bucket_days)))
+    ends = both.groupBy(*by, "_stretch").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_at", "_v"))).alias("_end"))
+    carried = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    opening = ends.withColumn("_v", carried).where("_v is not null").select(*by, F.lit(None).cast("timestamp").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), "_v", "_stretch")
+    w = Window.partitionBy(*by, "_stretch").orderBy("_at", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    return both.unionByName(opening).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_row is not null").select("_row.*", F.col("_last").alias(out))
 
 
 def change_around(probes: DataFrame, series: DataFrame, by: Sequence[str], at: str, ts: str, value: str, days: int = 10) -> DataFrame:
@@ -32,14 +36,21 @@ def change_around(probes: DataFrame, series: DataFrame, by: Sequence[str], at: s
 
 
 def trailing_mean(probes: DataFrame, rows: DataFrame, by: Sequence[str], at: str, day: str, value: str, days: int) -> DataFrame:
-    """probes with mean_value and n_rows of the rows of at - days <= day < at, by a range frame over the union."""
+    """probes with mean_value and n_rows of the rows of at - days <= day < at.
+
+    Rows are summed by day first, so the range frame runs over one row a day, however many rows a day has.
+    """
     number = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
-    fields = F.struct(*(F.col(c) for c in probes.columns))
-    left = probes.select(*by, number(at).alias("_day"), fields.alias("_row"), F.lit(None).cast("double").alias("_v"))
-    right = rows.select(*by, number(day).alias("_day"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(value).cast("double").alias("_v"))
+    asked = probes.withColumn("_day", number(at))
+    daily = rows.where(F.col(value).isNotNull()).groupBy(*by, number(day).alias("_day")).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count("*").alias("_n"))
+    empty = asked.select(*by, "_day").distinct().withColumns({"_s": F.lit(None).cast("double"), "_n": F.lit(None).cast("long")})
     w = Window.partitionBy(*by).orderBy("_day").rangeBetween(-days, -1)
-    both = left.unionByName(right).withColumn("mean_value", F.avg("_v").over(w)).withColumn("n_rows", F.count("_v").over(w))
-    return both.where("_row is not null").select("_row.*", "mean_value", "n_rows")
+    both = daily.unionByName(empty).withColumn("_sum", F.sum("_s").over(w)).withColumn("n_rows", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    found = both.groupBy(*by, "_day").agg(F.first("_sum").alias("_sum"), F.first("n_rows").alias("n_rows")).withColumnsRenamed({c: f"_k{k}" for k, c in enumerate(by)} | {"_day": "_d"})
+    match = asked["_day"].eqNullSafe(found["_d"])
+    for k, c in enumerate(by):
+        match = match & asked[c].eqNullSafe(found[f"_k{k}"])
+    return asked.join(found, match, "left").select(*(asked[c] for c in probes.columns), F.when(F.col("n_rows") > 0, F.col("_sum") / F.col("n_rows")).alias("mean_value"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def era_adjust(rows: DataFrame, value: str, period, out: str, centre: float = 50.0) -> DataFrame:

@@ -5,17 +5,28 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import period_start
-from tidemark.functions.text import content_id, word_count
+from tidemark.functions.text import clean_pdf, content_id, unspace, word_count
 from tidemark.schema import DOCUMENT, LOG
 
 
+def is_missing(error: Exception) -> bool:
+    """Whether a read failed as there is nothing at the path."""
+    return "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder on whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A JSONL corpus under the fixed schema; a broken line fails. Word counts and ids are derived where missing."""
     docs = spark.read.schema(DOCUMENT).option("mode", "FAILFAST").json(path)
@@ -102,3 +113,39 @@ def read_pdfs(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]
             yield pd.DataFrame({"path": part["path"], "pages": got})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, pages array<string>")
+
+
+def pdf_texts(pages: DataFrame, headers: Sequence[str] = ()) -> DataFrame:
+    """path, text of read_pdfs' result: all pages joined, cleaned and, where need be, closed up; empty for a file without pages."""
+    whole = clean_pdf(F.array_join("pages", "\n"), headers)
+    return pages.select("path", unspace(whole).alias("text"))
+
+
+def staged(spark: SparkSession, keys: DataFrame, key: str, path: str, load: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of the staging table at path for keys; those that it lacks are loaded and appended first.
+
+    load takes a DataFrame of the missing keys and returns rows with the key; so a page, a PDF's pages or a series is
+    fetched once. Rows are never refreshed; remove the table to fetch anew.
+    """
+    own = keys.select(key).distinct()
+    try:
+        missing = own.join(spark.read.parquet(path).select(key), key, "left_anti")
+    except Exception as e:
+        if not is_missing(e):
+            raise
+        missing = own
+    load(missing).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(own, key, "left_semi").dropDuplicates([key])
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a published output (one JSON object with an array `speeches`) that have a rating."""
+    item = "array<struct<id:string,d:date,m:double,ma:double,s:double,n:int,ds:double,dsa:double,a:string,tt:string,st:string,wc:int,inst:string>>"
+    return spark.read.schema(f"speeches {item}").option("multiLine", True).json(path).select(F.inline("speeches")).where("m is not null")
+
+
+def read_overlay(spark: SparkSession, path: str) -> DataFrame:
+    """series, d, v of an overlay (one JSON object whose `series` maps a name to its points)."""
+    kind = "series map<string,struct<label:string,unit:string,shape:string,data:array<array<string>>>>"
+    raw = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("series").alias("series", "own"))
+    return raw.select("series", F.explode("own.data").alias("p")).select("series", F.try_to_date(F.get("p", F.lit(0))).alias("d"), F.get("p", F.lit(1)).try_cast("double").alias("v")).dropna()

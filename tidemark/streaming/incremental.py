@@ -17,7 +17,8 @@ from tidemark.operators.tournament import fold
 def merge_stream(incoming: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
     """Appends each micro-batch's rows of keys that the table at path lacks; any age is welcome, as all history is compared.
 
-    A batch that is replayed after a failure finds its rows there and adds none.
+    A batch that is replayed after a failure finds its rows there and adds none. Each batch reads the keys of all history
+    (one column of it): a horizon would forget ids that may come again.
     """
 
     def add(batch: DataFrame, _: int) -> None:
@@ -36,7 +37,8 @@ def merge_stream(incoming: DataFrame, path: str, key: str, checkpoint: str) -> S
 def rating_stream(log: DataFrame) -> DataFrame:
     """Ratings of each tournament after each micro-batch of its log, from state: tournament, id, mu, sigma, n.
 
-    Rows of one batch are taken in the order of seq; later batches continue from there.
+    Rows of one batch are taken in the order of seq; later batches continue from there. The state of a tournament is one
+    row with all its players, as any two of them may meet next.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
