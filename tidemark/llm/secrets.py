@@ -217,8 +217,8 @@ def _marks(own: list[str]) -> np.ndarray:
     return np.array([[sum(_KEYWORD.search(w) is not None for w in own), sum(len(w) > 12 and bool(_DIGITS.search(w)) for w in own)]], float)
 
 
-def _lessons(text: str, rng: np.random.Generator, made: int) -> list[tuple[list[str], np.ndarray, list[int]]]:
-    """Words, labels and starts of windows to learn from: the text, it without its key words, and it with things put in."""
+def _lessons(text: str, rng: np.random.Generator, made: int) -> list[tuple[list[str], np.ndarray, list[int], np.ndarray]]:
+    """Words, labels, starts of windows and marks to learn from: the text, it without its key words, and its words around things put in."""
     places, spans = word_places(text), base_spans(text)
     own, labels = [text[a:b] for a, b in places], np.zeros(len(places), np.int64)
     for a, b, _ in spans:
@@ -228,20 +228,21 @@ def _lessons(text: str, rng: np.random.Generator, made: int) -> list[tuple[list[
             labels[hit[0]] = 1
     if not own:
         return []
-    last = max(0, len(own) - SPAN)
+    last, marks = max(0, len(own) - SPAN), _marks(own)
     odd = [k for k, w in enumerate(own) if not labels[k] and len(w) > 8 and not w.isalpha()]
     near = [*np.flatnonzero(labels == 1).tolist(), *(odd[int(k)] for k in rng.integers(0, len(odd), 4) if odd)] if odd else np.flatnonzero(labels == 1).tolist()
-    out = [(own, labels, sorted({min(last, max(0, k - int(rng.integers(2, SPAN - 2)))) for k in near} | {int(x) for x in rng.integers(0, last + 1, 2)}))]
+    out = [(own, labels, sorted({min(last, max(0, k - int(rng.integers(2, SPAN - 2)))) for k in near} | {int(x) for x in rng.integers(0, last + 1, 2)}), marks)]
     keep = np.array([not (x and (w[-1:] in ":=" or _KEYWORD.search(w) and not _DIGITS.search(w))) for w, x in zip(own, labels)])
     if labels.any() and not keep.all():
         less, bare = [w for w, k in zip(own, keep) if k], labels[keep]
         bare = np.where((bare == 2) & (np.concatenate([[0], bare[:-1]]) == 0), 1, bare)
-        out.append((less, bare, sorted({max(0, k - int(rng.integers(2, SPAN - 2))) for k in np.flatnonzero(bare == 1).tolist()})))
+        out.append((less, bare, sorted({max(0, k - int(rng.integers(2, SPAN - 2))) for k in np.flatnonzero(bare == 1).tolist()}), marks - _marks([w for w, k in zip(own, keep) if not k])))
     for _ in range(made):
         at = int(rng.integers(0, len(own) + 1))
         extra, tags = made_up(rng) if rng.random() < 0.6 else (harmless(rng), [])
         tags = [*tags, *[0] * (len(extra) - len(tags))]
-        out.append(([*own[:at], *extra, *own[at:]], np.concatenate([labels[:at], tags, labels[at:]]).astype(np.int64), [max(0, at - int(rng.integers(1, SPAN - 2)))]))
+        low, high = max(0, at - SPAN), at + SPAN
+        out.append(([*own[low:at], *extra, *own[at:high]], np.concatenate([labels[low:at], tags, labels[at:high]]).astype(np.int64), [max(0, at - low - int(rng.integers(1, SPAN - 2)))], marks + _marks(extra)))
     return out
 
 
@@ -258,8 +259,8 @@ def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", most: int
     rng, numbers, chosen, labels, file = np.random.default_rng(11), {}, [], [], []
     got = sample.toPandas().sort_values([key, text_col], kind="stable")[text_col].tolist()
     for text in got:
-        for own, tags, starts in _lessons(text, rng, -(-made // len(got))):
-            bucket = int(file_bucket(_marks(own))[0])
+        for own, tags, starts, marks in _lessons(text, rng, -(-made // len(got))):
+            bucket = int(file_bucket(marks)[0])
             for s in starts:
                 part = own[s : s + SPAN]
                 around = [own[s - 1] if s else None, *part, *[None] * (SPAN - len(part)), own[s + SPAN] if s + SPAN < len(own) else None]
@@ -282,9 +283,9 @@ def _trained(distinct: list[str], chosen: np.ndarray, y: np.ndarray, file: np.nd
     inside = spans[0] >= 0
     has = [(x >= 0) & inside for x in spans]
     sizes = [np.zeros_like(p) for p in field.parts()]
-    block = np.zeros((3, 3))
-    block[0, 2] = -1e4
-    rows, onehot = np.arange(n), np.eye(3)
+    allowed = np.array([[1.0, 1, 0], [1, 1, 1], [1, 1, 1]])  # inside never follows outside
+    onehot, seen = np.eye(3), np.zeros((3, 3))
+    np.add.at(seen, (y[:, :-1][inside[:, 1:]], y[:, 1:][inside[:, 1:]]), 1)
 
     def tally(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
         return np.stack([np.bincount(at, values[:, k], size) for k in range(3)], axis=1)
@@ -293,27 +294,29 @@ def _trained(distinct: list[str], chosen: np.ndarray, y: np.ndarray, file: np.nd
         e = np.repeat(field.file[file][:, None, :], SPAN, axis=1)
         for x, h, w in zip(spans, has, (field.own, field.before, field.after)):
             e += w[f].reshape(-1, FEATURES, 3).sum(axis=1)[x] * h[..., None]
-        step = field.step + block
-        first = e[:, 0].copy()
-        first[:, 2] -= 1e4
-        alpha, beta = [first], [np.zeros((n, 3))]
+        # Forward and backward sums of probabilities, scaled at each word; what the scales are does not matter to the posteriors.
+        step, likely = np.exp(field.step) * allowed, np.exp(e - e.max(axis=2, keepdims=True))
+        alpha, beta = np.empty((SPAN, n, 3)), np.ones((SPAN, n, 3))
+        alpha[0] = likely[:, 0] * [1, 1, 0]
         for t in range(1, SPAN):
-            alpha.append(np.where(inside[:, t, None], np.logaddexp.reduce(alpha[-1][:, :, None] + step, axis=1) + e[:, t], alpha[-1]))
+            alpha[t] = np.where(inside[:, t, None], alpha[t - 1] @ step * likely[:, t], alpha[t - 1])
+            alpha[t] /= alpha[t].sum(axis=1, keepdims=True)
         for t in range(SPAN - 1, 0, -1):
-            beta.append(np.where(inside[:, t, None], np.logaddexp.reduce(step + (e[:, t] + beta[-1])[:, None, :], axis=2), beta[-1]))
-        alpha, beta = np.stack(alpha, axis=1), np.stack(beta[::-1], axis=1)
-        z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        gap = (onehot[y] - np.exp(alpha + beta - z[:, None, None])) * inside[..., None]
+            beta[t - 1] = np.where(inside[:, t, None], (likely[:, t] * beta[t]) @ step.T, beta[t])
+            beta[t - 1] /= beta[t - 1].sum(axis=1, keepdims=True)
+        share = alpha * beta
+        share /= share.sum(axis=2, keepdims=True)
+        gap = (onehot[y] - share.transpose(1, 0, 2)) * inside[..., None]
         gs = []
         for x, h in zip(spans, has):
             of_words = tally(x[h], gap[h], len(distinct))
             gs.append(tally(f, np.repeat(of_words, FEATURES, axis=0), BUCKETS))
         gs += [tally(file, gap.sum(axis=1), FILE_BUCKETS), np.zeros((3, 3))]
         for t in range(1, SPAN):
-            pair = np.exp(alpha[:, t - 1, :, None] + step + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-            seen = np.zeros((n, 3, 3))
-            seen[rows, y[:, t - 1], y[:, t]] = 1
-            gs[4] += ((seen - pair) * inside[:, t, None, None]).sum(axis=0)
+            pair = alpha[t - 1][:, :, None] * step * (likely[:, t] * beta[t])[:, None, :]
+            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            gs[4] -= pair[inside[:, t]].sum(axis=0)
+        gs[4] += seen
         for p, g, s in zip(field.parts(), gs, sizes):
             g = g / n - ridge * p / max(1, len(p) // 64)
             s += g * g
