@@ -135,6 +135,7 @@ class Memo:
 
     def __init__(self, make, width: int, dtype=np.float64, most: int = 250_000, chars: int = 16 << 20):
         HELD.clear()
+        release()
         self.make, self.width, self.dtype, self.most, self.chars = make, width, dtype, most, chars
         self.clear()
 

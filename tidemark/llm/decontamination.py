@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, coded, cut, inside, mix, slices, texts, word_hashes, words
+from .common import coded, cut, inside, Memo, mix, release, slices, texts, word_hashes, words
 
 #: The masks, 1 for a word that counts. Of any 13 words or more with four fifths equal, one finds six.
 MASKS = ("111111", "11010111", "110100001011", "10101100101")
@@ -176,6 +176,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
         return pa.RecordBatch.from_arrays([batch["id"].take(chosen), batch["item"].take(chosen), *(pa.array([x[k] for x in got], t) for k, t in enumerate(kinds))], columns)
 
     def verify(batches):
+        release()
         for batch in batches:
             out = []
             for mask, place, at, m, near, item_place, item_at, n, item_near in zip(*(batch[c].to_pylist() for c in ("mask", "place", "at", "words", "near", "item_place", "item_at", "item_words", "item_near"))):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, parts, spread_join
+from .common import components, cut, mix, parts, release, spread_join
 from .simhash import forest, stars
 from .substring_dedup import planes, unplanes
 
@@ -172,6 +172,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, i
     limit = sketch_limit(cosine)
 
     def meet(batches):
+        release()
         got = [(unplanes(k, "<u4"), np.cumsum(unplanes(c, "<i8")), np.frombuffer(s, np.uint64).reshape(-1, SKETCH // 64)) for batch in batches for k, c, s in zip(*(batch[x].to_pylist() for x in ("keys", "nodes", "sketches")))]
         if got:
             key, node, sketch = (np.concatenate(x) for x in zip(*got))
@@ -215,6 +216,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, i
     rooms = seated.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("component", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "node", "tag", "weight", "v", "bytes")
 
     def settle(batches):
+        release()
         def close(table):
             """Links of all whole rooms of a sorted table."""
             c, i, j, side, node, tag, weight, size = (table[x].to_numpy() for x in ("component", "i", "j", "side", "node", "tag", "weight", "bytes"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, coded, components, cut, inside, mix, parts, rolling, slices, spread_join, sums, texts, word_hashes, words
+from .common import coded, components, cut, inside, Memo, mix, parts, release, rolling, slices, spread_join, sums, texts, word_hashes, words
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # shift and bits
@@ -179,6 +179,7 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     n = parts(reps, 1 << 20)
 
     def emit(batches):
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -188,6 +189,7 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key | (k << 26)), batch["rep"].take(pa.array(row)), *(pa.array(x[row].view(np.int64)) for x in fps)], ["key", "rep", *names])
 
     def meet(batches):
+        release()
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("rep", pa.int64()), *((c, pa.int64()) for c in names)]))
         rep = got["rep"].to_numpy()
         a, b = bucket_links(got["key"].to_numpy(), np.stack([got[c].to_numpy().view(np.uint64) for c in names], axis=1), bits)
@@ -323,6 +325,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
     n = parts(reps, 1 << 20)
 
     def emit(batches):
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -335,6 +338,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
                     yield pa.RecordBatch.from_arrays([pa.array(key), batch["node"].take(pa.array(row)), *(pa.array(x[row].view(np.int64)) for x in fps)], ["key", "node", *names])
 
     def meet(batches):
+        release()
         long = pa.int64()
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", long), ("node", long), *((c, long) for c in names)]))
         node = got["node"].to_numpy()
@@ -363,6 +367,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
                 yield pa.RecordBatch.from_arrays([pa.array(digests(offsets, flat).view(np.int64)), pa.array([flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())], ["id", "shingles"])
 
     def verify(batches):
+        release()
         got = {}
         for batch in batches:
             for c, i, rep, own in zip(*(batch[x].to_pylist() for x in ("component", "id", "rep", "shingles"))):

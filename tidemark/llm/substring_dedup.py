@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, coded, inside, mix, parts, rolling, slices, texts, word_hashes, words
+from .common import coded, inside, Memo, mix, parts, release, rolling, slices, texts, word_hashes, words
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _FIELDS = ["bucket", "hashes", "docs", "kinds", "runs", "places"]
@@ -140,6 +140,7 @@ def repeated(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
                 yield _packed([_row(int(bucket[keep[a]]), main[keep[a:b]].astype("<u8").tobytes(), doc[keep[a:b]], kind[keep[a:b]], place[keep[a:b]]) for a, b in zip(edge, np.append(edge[1:], len(keep)))])
 
     def meet(batches):
+        release()
         got = [[], [], [], [], []]
         for batch in batches:
             for b, h, *rest in zip(*(batch[f].to_pylist() for f in _FIELDS)):
@@ -159,6 +160,7 @@ def repeated(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
                     yield _dealt(doc[own], kind[own], place[own], n)
 
     def gather(batches):
+        release()
         got = [_unrow(*rest) for batch in batches for rest in zip(*(batch[f].to_pylist() for f in _FIELDS[2:]))]
         if not got:
             return
@@ -190,6 +192,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", te
     rows = rows.join(starts, own, "left").select("_id", "_text", "starts")
 
     def apply(batches):
+        release()
         for whole in batches:
             for batch in slices(whole, "_text"):
                 n, gone, digests, kept = [], [], [], []
