@@ -54,6 +54,17 @@ def release() -> None:
         trim(0)
 
 
+def tidy(work):
+    """A function of batches that gives memory back before and after its work, as worker processes outlive their tasks."""
+
+    def run(batches):
+        release()
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about `most` bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -135,7 +146,6 @@ class Memo:
 
     def __init__(self, make, width: int, dtype=np.float64, most: int = 250_000, chars: int = 16 << 20):
         HELD.clear()
-        release()
         self.make, self.width, self.dtype, self.most, self.chars = make, width, dtype, most, chars
         self.clear()
 
@@ -208,9 +218,10 @@ def spread_join(rows: DataFrame, owner: DataFrame, keys: list[str], size: str, n
     gets = [c for c in owner.columns if c not in (*keys, size)]
     hot = owner.where(F.col(size) > limit).select(*keys, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_{c}") for c in gets))
     near = rows.join(F.broadcast(hot), keys, "left")
-    done = near.where("_hot").select(*rows.columns, *(F.col(f"_{c}").alias(c) for c in gets))
-    rest = near.where("_hot is null").select(*rows.columns).join(owner.where(F.col(size) <= limit).select(*keys, *gets), keys, "left")
-    return done.unionByName(rest.select(*rows.columns, *gets))
+    # Rows that have their answer are spread by their own hash and meet nothing in the second join.
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    rest = owner.where(F.col(size) <= limit).select(*keys, F.lit(0).cast("long").alias("_salt"), *gets)
+    return near.withColumn("_salt", salt.cast("long")).join(rest, [*keys, "_salt"], "left").select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in gets))
 
 
 def components(edges: DataFrame) -> DataFrame:

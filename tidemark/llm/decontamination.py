@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, cut, inside, Memo, mix, release, slices, texts, word_hashes, words
+from .common import Memo, coded, cut, inside, mix, slices, texts, tidy, word_hashes, words
 
 #: The masks, 1 for a word that counts. Of any 13 words or more with four fifths equal, one finds six.
 MASKS = ("111111", "11010111", "110100001011", "10101100101")
@@ -136,7 +136,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
                         yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(np.full(len(near), k, np.int32)), batch["_id"].take(pa.array(row[own])), pa.array(place[own]), pa.array([int(offsets[r] + p - x) for (x, _), r, p in zip(near, row[own], place[own])], pa.int64()), pa.array(np.diff(offsets)[row[own]]), pa.array([h[x:y].tobytes() for x, y in near], pa.binary())], ["key", "mask", "item", "item_place", "item_at", "item_words", "item_near"])
 
     kind = f"key long, mask int, item {items.simpleString()}, item_place long, item_at long, item_words long, item_near binary"
-    known = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_id"), F.col(item_text_col).alias("_text")).mapInArrow(of_items, kind)
+    known = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_id"), F.col(item_text_col).alias("_text")).mapInArrow(tidy(of_items), kind)
     # A Bloom filter of a fixed size, whatever the benchmark's.
     low = known.select(F.explode(F.array(*(F.shiftrightunsigned("key", 13 * k).bitwiseAND((1 << FILTER_BITS) - 1).cast("int") for k in range(PROBES)))).alias("low")).distinct().toPandas()["low"].to_numpy(np.int64)
     bits = np.zeros(1 << FILTER_BITS, bool)
@@ -162,7 +162,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
                         yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(np.full(len(own), k, np.int32)), batch["_id"].take(pa.array(r)), pa.array(p), pa.array(offsets[r] + p - start), pa.array(np.diff(offsets)[r]), pa.array([h[x:y].tobytes() for x, y in zip(start, end)], pa.binary())], ["key", "mask", "id", "place", "at", "words", "near"])
 
     kind = f"key long, mask int, id {ids.simpleString()}, place long, at long, words long, near binary"
-    hits = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(of_docs, kind)
+    hits = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(of_docs), kind)
 
     seed = [len(m) for m in (*MASKS, *SHORT)]
     columns = ["id", "item", "doc_start", "item_start", "n_words", "n_equal", "goes_on", "place", "item_place", "span"]
@@ -176,7 +176,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
         return pa.RecordBatch.from_arrays([batch["id"].take(chosen), batch["item"].take(chosen), *(pa.array([x[k] for x in got], t) for k, t in enumerate(kinds))], columns)
 
     def verify(batches):
-        release()
         for batch in batches:
             out = []
             for mask, place, at, m, near, item_place, item_at, n, item_near in zip(*(batch[c].to_pylist() for c in ("mask", "place", "at", "words", "near", "item_place", "item_at", "item_words", "item_near"))):
@@ -199,7 +198,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
     # Spark cannot know how large the benchmark's windows are, so they are measured.
     size = known.agg(F.coalesce(F.sum(F.octet_length("item_near") + 64), F.lit(0))).first()[0]
     known = F.broadcast(known) if size <= BROADCAST else known.hint("merge")
-    found = cut(hits.join(known, ["key", "mask"]).select("mask", "id", "place", "at", "words", "near", "item", "item_place", "item_at", "item_words", "item_near").mapInArrow(verify, kind))
+    found = cut(hits.join(known, ["key", "mask"]).select("mask", "id", "place", "at", "words", "near", "item", "item_place", "item_at", "item_words", "item_near").mapInArrow(tidy(verify), kind))
     # One hit of each AROUND places of a diagonal stands for the others there, as it leads to the same stretch.
     on = found.where("goes_on").groupBy("id", "item", (F.col("place") - F.col("item_place")).alias("_"), F.floor(F.col("place") / AROUND).alias("__")).agg(F.min(F.struct("place", "item_place", "span")).alias("hit")).select("id", "item", "hit.*")
     open_hits = on.count()
@@ -220,6 +219,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
         on = F.broadcast(on) if open_hits <= FEW else on
         texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(on, "id")
         whole = texts_of.join(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("_item_text")), "item")
-        found = found.unionByName(whole.select("id", "item", "place", "item_place", "span", "_text", "_item_text").mapInArrow(again, kind))
+        found = found.unionByName(whole.select("id", "item", "place", "item_place", "span", "_text", "_item_text").mapInArrow(tidy(again), kind))
     best = F.max(F.struct("n_equal", "n_words", (-F.col("doc_start")).alias("back"), (-F.col("item_start")).alias("item_back"))).alias("m")
     return found.groupBy("id", "item").agg(best).select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("m.back")).alias("doc_start"), (-F.col("m.item_back")).alias("item_start"), F.col("m.n_words").alias("n_words"), F.col("m.n_equal").alias("n_equal"))

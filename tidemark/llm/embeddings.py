@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, parts, release, spread_join
+from .common import components, cut, mix, parts, spread_join, tidy
 from .simhash import forest, stars
 from .substring_dedup import planes, unplanes
 
@@ -146,7 +146,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, i
                     more = np.packbits(signs(unit, SKETCH, 8), axis=1)
                     yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(own)), pa.array(nodes(m, tag)), pa.array(tag.view(np.int64)), pa.array([x.tobytes() for x in side], pa.binary()), pa.array([x.tobytes() for x in more], pa.binary())], ["id", "node", "tag", "sides", "sketch"])
 
-    lean = good.mapInArrow(sketched, "id long, node long, tag long, sides binary, sketch binary")
+    lean = good.mapInArrow(tidy(sketched), "id long, node long, tag long, sides binary, sketch binary")
     classes = cut(lean.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), *(F.first(c).alias(c) for c in ("tag", "sides", "sketch"))))
     n = parts(classes, 1 << 18)
 
@@ -172,7 +172,6 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, i
     limit = sketch_limit(cosine)
 
     def meet(batches):
-        release()
         got = [(unplanes(k, "<u4"), np.cumsum(unplanes(c, "<i8")), np.frombuffer(s, np.uint64).reshape(-1, SKETCH // 64)) for batch in batches for k, c, s in zip(*(batch[x].to_pylist() for x in ("keys", "nodes", "sketches")))]
         if got:
             key, node, sketch = (np.concatenate(x) for x in zip(*got))
@@ -180,8 +179,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, i
             a, b = stars(node[a], node[b])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = classes.select("node", "tag", "sides", "sketch").mapInArrow(emit, "to int, keys binary, nodes binary, sketches binary").repartitionById(n, F.col("to"))
-    near = components(dealt.mapInArrow(meet, "a long, b long"))
+    dealt = classes.select("node", "tag", "sides", "sketch").repartition(n, "node").mapInArrow(tidy(emit), "to int, keys binary, nodes binary, sketches binary").repartitionById(n, F.col("to"))
+    near = components(dealt.mapInArrow(tidy(meet), "a long, b long"))
     sized = cut(near.join(near.groupBy("component").agg(F.count("*").alias("members")), "component").join(classes.select(F.col("node").alias("id"), "tag", "weight"), "id"))
 
     # Of the vectors only those of the candidates are dealt, one for each class; which, a filter of a fixed size tells.
@@ -209,14 +208,13 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, i
             column = narrow if exact.all() else batch["v"]  # four bytes a component where they tell all
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array([np.asarray(v).tobytes() for v in np.split(column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()[1:-1] - column.offsets.to_numpy()[0])] if len(batch) else [], pa.binary()), pa.array(np.full(len(batch), 4 if exact.all() else 8, np.int32))], ["node", "v", "bytes"])
 
-    own = good.mapInArrow(numbered, "id long, node long, v array<double>")
-    vectors = own.select("node", "v", bit("node").alias("bit")).mapInArrow(chosen, "node long, v binary, bytes int").groupBy("node").agg(F.first("v").alias("v"), F.first("bytes").alias("bytes"))
+    own = good.mapInArrow(tidy(numbered), "id long, node long, v array<double>")
+    vectors = own.select("node", "v", bit("node").alias("bit")).mapInArrow(tidy(chosen), "node long, v binary, bytes int").groupBy("node").agg(F.first("v").alias("v"), F.first("bytes").alias("bytes"))
     sides = F.ceil(F.col("members") / ROOM).cast("int")
     seated = sized.join(vectors, sized["id"] == vectors["node"]).select("component", "node", "tag", "weight", "v", "bytes", sides.alias("sides"), F.pmod(F.xxhash64("node"), sides).cast("int").alias("side"))
     rooms = seated.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("component", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "node", "tag", "weight", "v", "bytes")
 
     def settle(batches):
-        release()
         def close(table):
             """Links of all whole rooms of a sorted table."""
             c, i, j, side, node, tag, weight, size = (table[x].to_numpy() for x in ("component", "i", "j", "side", "node", "tag", "weight", "bytes"))
@@ -250,7 +248,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, i
         if kept is not None and kept.num_rows:
             yield from close(kept.combine_chunks())
 
-    found = cut(rooms.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(settle, "a long, b long, degree long"))
+    found = cut(rooms.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(tidy(settle), "a long, b long, degree long"))
     degree = found.where("degree is not null").groupBy("a").agg(F.sum("degree").alias("degree"))
     joined = components(found.where("b is not null").select("a", "b")).join(classes.select(F.col("node").alias("id"), "rep"), "id")
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))

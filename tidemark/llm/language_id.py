@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded_sample, coded, slices, stretch, sums, texts, words
+from .common import Memo, bounded_sample, coded, slices, stretch, sums, texts, tidy, words
 
 START = "▁"
 #: Characters of a block of a long word (short enough for the product of as many probabilities), and the bits of a filter.
@@ -241,4 +241,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     lettered: Column = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lettered.alias("_letters"))
-    return rows.mapInArrow(label, f"_id {ids.simpleString()}, lang_pred string, score double, margin double").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(label), f"_id {ids.simpleString()}, lang_pred string, score double, margin double").withColumnRenamed("_id", id_col)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, coded, labelled_sample, mix, slices, sums, texts, word_hashes, words
+from .common import Memo, coded, labelled_sample, mix, slices, sums, texts, tidy, word_hashes, words
 
 BITS = 18
 _SHAPES = [(re.compile(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_]+"), "A"), (re.compile(r"\d+"), "9")]
@@ -124,4 +124,4 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col:
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = T.StructType().add("_id", ids).add("score", "double").add("predicted", "integer")
-    return rows.mapInArrow(apply, kind.add("text", "string") if keep_text else kind).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(apply), kind.add("text", "string") if keep_text else kind).withColumnRenamed("_id", id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, bounded_sample, coded, slices, stretch, sums, texts, words
+from .common import Memo, bounded_sample, coded, slices, stretch, sums, texts, tidy, words
 from .quality import shape
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -365,7 +365,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(out, arrow)], ["_id", "found"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(apply, f"_id {ids.simpleString()}, found array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(apply), f"_id {ids.simpleString()}, found array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("_id", id_col)
 
 
 def cover(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -398,5 +398,5 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
                     column = pa.array(own, pa.string())
                 yield pa.RecordBatch.from_arrays([batch["_rest"], column], ["_rest", "_text"])
 
-    covered = rows.mapInArrow(apply, T.StructType().add("_rest", rows.schema["_rest"].dataType).add("_text", "string"))
+    covered = rows.mapInArrow(tidy(apply), T.StructType().add("_rest", rows.schema["_rest"].dataType).add("_text", "string"))
     return covered.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, components, cut, inside, Memo, mix, parts, release, rolling, slices, spread_join, sums, texts, word_hashes, words
+from .common import Memo, coded, components, cut, inside, mix, parts, rolling, slices, spread_join, sums, texts, tidy, word_hashes, words
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # shift and bits
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seeds: tuple[int, ...] = (42
                 yield pa.RecordBatch.from_arrays([batch["_id"], *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in made)], ["_id", *names])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(apply, f"_id {ids.simpleString()}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(apply), f"_id {ids.simpleString()}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("_id", id_col)
 
 
 def forest(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -179,7 +179,6 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     n = parts(reps, 1 << 20)
 
     def emit(batches):
-        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -189,7 +188,6 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key | (k << 26)), batch["rep"].take(pa.array(row)), *(pa.array(x[row].view(np.int64)) for x in fps)], ["key", "rep", *names])
 
     def meet(batches):
-        release()
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("rep", pa.int64()), *((c, pa.int64()) for c in names)]))
         rep = got["rep"].to_numpy()
         a, b = bucket_links(got["key"].to_numpy(), np.stack([got[c].to_numpy().view(np.uint64) for c in names], axis=1), bits)
@@ -197,7 +195,7 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     long = ", ".join(f"{c} long" for c in names)
-    edges = reps.select(F.col("rep").cast("long"), *names).mapInArrow(emit, f"key long, rep long, {long}").repartition(n, "key").mapInArrow(meet, "a long, b long")
+    edges = reps.select(F.col("rep").cast("long"), *names).repartition(n, "rep").mapInArrow(tidy(emit), f"key long, rep long, {long}").repartition(n, "key").mapInArrow(tidy(meet), "a long, b long")
     found = components(edges)
     owner = reps.join(found, F.col("rep") == F.col("id"), "left").select(*names, "size", F.coalesce("component", "rep").alias("component_id"))
     return spread_join(prints, owner, names, "size", prints.count()).select(id_col, *names, "component_id")
@@ -320,12 +318,11 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
                 made, bands = set_prints(*own), set_bands(*own)
                 yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(digests(*own).view(np.int64)), *(pa.array(made[:, k].copy().view(np.int64)) for k in range(PRINTS)), pa.array([b.tobytes() for b in bands], pa.binary())], ["_id", "node", *names, "bands"])
 
-    prints = cut(rows.mapInArrow(sketch, f"_id {ids}, node long, " + ", ".join(f"{c} long" for c in names) + ", bands binary"))
+    prints = cut(rows.mapInArrow(tidy(sketch), f"_id {ids}, node long, " + ", ".join(f"{c} long" for c in names) + ", bands binary"))
     reps = cut(prints.groupBy("node").agg(F.min("_id").cast("long").alias("rep"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in [*names, "bands"])).where("rep is not null"))
     n = parts(reps, 1 << 20)
 
     def emit(batches):
-        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
@@ -338,7 +335,6 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
                     yield pa.RecordBatch.from_arrays([pa.array(key), batch["node"].take(pa.array(row)), *(pa.array(x[row].view(np.int64)) for x in fps)], ["key", "node", *names])
 
     def meet(batches):
-        release()
         long = pa.int64()
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", long), ("node", long), *((c, long) for c in names)]))
         node = got["node"].to_numpy()
@@ -347,7 +343,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     long = ", ".join(f"{c} long" for c in names)
-    edges = reps.select("node", *names, "bands").mapInArrow(emit, f"key long, node long, {long}").repartition(n, "key").mapInArrow(meet, "a long, b long")
+    edges = reps.select("node", *names, "bands").repartition(n, "node").mapInArrow(tidy(emit), f"key long, node long, {long}").repartition(n, "key").mapInArrow(tidy(meet), "a long, b long")
     near = cut(components(edges).join(reps.select(F.col("node").alias("id"), "rep"), "id"))
     # Texts are read again for members of candidate components only, told by bits of a fixed size, whatever the input's.
     bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER)) + 1
@@ -367,7 +363,6 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
                 yield pa.RecordBatch.from_arrays([pa.array(digests(offsets, flat).view(np.int64)), pa.array([flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())], ["id", "shingles"])
 
     def verify(batches):
-        release()
         got = {}
         for batch in batches:
             for c, i, rep, own in zip(*(batch[x].to_pylist() for x in ("component", "id", "rep", "shingles"))):
@@ -378,7 +373,7 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
             root = similar_groups(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), np.concatenate(flat), least)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([members[nodes[k]][0] for k in root.tolist()], pa.int64())], ["node", "component_id"])
 
-    own = rows.where("_id is not null").select(bit("_id").alias("bit"), "_text").mapInArrow(sets, "id long, shingles binary")
-    found = own.join(near, "id").repartition(n, "component").mapInArrow(verify, "node long, component_id long")
+    own = rows.where("_id is not null").select(bit("_id").alias("bit"), "_text").mapInArrow(tidy(sets), "id long, shingles binary")
+    found = own.join(near, "id").repartition(n, "component").mapInArrow(tidy(verify), "node long, component_id long")
     owner = reps.select("node", "rep", "size").join(found, "node", "left").select("node", "size", F.coalesce("component_id", "rep").alias("component_id"))
     return spread_join(prints.select("_id", "node"), owner, ["node"], "size", prints.count()).select(F.col("_id").alias(id_col), "component_id")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, inside, Memo, mix, parts, release, rolling, slices, texts, word_hashes, words
+from .common import Memo, coded, inside, mix, parts, rolling, slices, texts, tidy, word_hashes, words
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _FIELDS = ["bucket", "hashes", "docs", "kinds", "runs", "places"]
@@ -140,7 +140,6 @@ def repeated(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
                 yield _packed([_row(int(bucket[keep[a]]), main[keep[a:b]].astype("<u8").tobytes(), doc[keep[a:b]], kind[keep[a:b]], place[keep[a:b]]) for a, b in zip(edge, np.append(edge[1:], len(keep)))])
 
     def meet(batches):
-        release()
         got = [[], [], [], [], []]
         for batch in batches:
             for b, h, *rest in zip(*(batch[f].to_pylist() for f in _FIELDS)):
@@ -160,7 +159,6 @@ def repeated(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
                     yield _dealt(doc[own], kind[own], place[own], n)
 
     def gather(batches):
-        release()
         got = [_unrow(*rest) for batch in batches for rest in zip(*(batch[f].to_pylist() for f in _FIELDS[2:]))]
         if not got:
             return
@@ -172,8 +170,8 @@ def repeated(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
             own = slice(at, at + 1000)
             yield pa.RecordBatch.from_arrays([pa.array(doc[head[own]], pa.int64()), pa.array(kind[head[own]], pa.int64()), pa.array([place[a : a + c].tobytes() for a, c in zip(head[own], count[own])], pa.binary())], ["id", "kind", "starts"])
 
-    packed = rows.mapInArrow(windows, _SCHEMA).repartitionById(n, F.col("bucket")).mapInArrow(meet, _SCHEMA)
-    return packed.repartitionById(n, F.col("bucket")).mapInArrow(gather, "id long, kind long, starts binary")
+    packed = rows.mapInArrow(tidy(windows), _SCHEMA).repartitionById(n, F.col("bucket")).mapInArrow(tidy(meet), _SCHEMA)
+    return packed.repartitionById(n, F.col("bucket")).mapInArrow(tidy(gather), "id long, kind long, starts binary")
 
 
 def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -192,7 +190,6 @@ def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", te
     rows = rows.join(starts, own, "left").select("_id", "_text", "starts")
 
     def apply(batches):
-        release()
         for whole in batches:
             for batch in slices(whole, "_text"):
                 n, gone, digests, kept = [], [], [], []
@@ -212,4 +209,4 @@ def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), *([pa.array(kept, pa.string())] * with_text)], ["_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
     kind = f"_id {ids.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return rows.mapInArrow(apply, kind).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(apply), kind).withColumnRenamed("_id", id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, coded, labelled_sample, slices, texts, words
+from .common import Memo, coded, labelled_sample, slices, texts, tidy, words
 
 PREFIXES = (4, 5, 6)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -187,4 +187,4 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col:
                 yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence), listed], ["_id", "score", "predicted", "evidence", "passages"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(apply, f"_id {ids.simpleString()}, score double, predicted int, evidence double, passages {kind}").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(apply), f"_id {ids.simpleString()}, score double, predicted int, evidence double, passages {kind}").withColumnRenamed("_id", id_col)
