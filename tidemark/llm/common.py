@@ -40,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has the session hand rows to Python by `rows` at a time, as texts are long: a batch stands in the JVM and in the worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id's text modulo n; -1 for a null id, which belongs to no fold."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(-1))
@@ -54,17 +59,6 @@ def release() -> None:
         trim(0)
 
 
-def tidy(work):
-    """A function of batches that gives memory back before and after its work, as worker processes outlive their tasks."""
-
-    def run(batches):
-        release()
-        yield from work(batches)
-        release()
-
-    return run
-
-
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about `most` bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -141,6 +135,21 @@ def held(kind: type, *args):
     return HELD[key]
 
 
+def tidy(work):
+    """A function of batches that gives memory back before and after its work, as worker processes outlive their tasks.
+
+    What a worker still holds of another kind of work goes too.
+    """
+
+    def run(batches):
+        HELD.clear()
+        release()
+        yield from work(batches)
+        release()
+
+    return run
+
+
 class Memo:
     """Rows of numbers by word, filled by `make` for words not met yet; emptied beyond `most` words or `chars` characters."""
 
