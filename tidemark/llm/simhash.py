@@ -168,6 +168,39 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[far], ids[root[far]]
 
 
+PACKED = "to int, keys binary, at binary, ids binary, prints binary"
+
+
+def packed(row: np.ndarray, key: np.ndarray, ids: np.ndarray, prints: np.ndarray, n: int) -> pa.RecordBatch:
+    """Keys of rows by destination, of n: 32 bits of each key's hash, and each row's id and fingerprints once for a destination.
+
+    Keys whose 32 bits agree in a destination share a bucket; members are compared there in any case.
+    """
+    mixed = mix(key)
+    to = (mixed % np.uint64(n)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) > 0])) if len(order) else order
+    out = []
+    for a, b in zip(head, np.append(head[1:], len(order))):
+        own = order[a:b]
+        rows, at = np.unique(row[own], return_inverse=True)
+        out.append((int(to[own[0]]), (mixed[own] >> np.uint64(32)).astype("<u4").tobytes(), at.astype("<u4").tobytes(), ids[rows].astype("<i8").tobytes(), prints[rows].astype("<u8").tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 5))], ["to", "keys", "at", "ids", "prints"])
+
+
+def unpacked(batches, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, the place of each one's owner, and the owners' ids and fingerprints [owner, word]."""
+    key, at, ids, prints, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, words), np.uint64)], 0
+    for batch in batches:
+        for k, a, i, p in zip(*(batch[c].to_pylist() for c in ("keys", "at", "ids", "prints"))):
+            key.append(np.frombuffer(k, "<u4"))
+            at.append(np.frombuffer(a, "<u4") + n)
+            ids.append(np.frombuffer(i, "<i8"))
+            prints.append(np.frombuffer(p, "<u8").reshape(-1, words))
+            n += len(ids[-1])
+    return tuple(np.concatenate(x) for x in (key, at, ids, prints))
+
+
 def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     """id, the fingerprints, component_id: prints of fp0, fp1, ... linked where in all at most `bits` bits differ.
 
@@ -176,26 +209,23 @@ def link(prints: DataFrame, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     names = [c for c in prints.columns if c.startswith("fp")]
     prints = cut(prints)
     reps = cut(prints.groupBy(*names).agg(F.min(id_col).alias("rep"), F.count("*").alias("size")).where("rep is not null"))
-    n = parts(reps, 1 << 20)
+    n = parts(reps, 4 << 20)
 
     def emit(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                fps = [batch[c].to_numpy().view(np.uint64) for c in names]
-                for k, fp in enumerate(fps):
-                    row, key = keys(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(key | (k << 26)), batch["rep"].take(pa.array(row)), *(pa.array(x[row].view(np.int64)) for x in fps)], ["key", "rep", *names])
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                fps = np.stack([batch[c].to_numpy().view(np.uint64) for c in names], axis=1)
+                made = [(row, key | (k << 26)) for k in range(len(names)) for row, key in [keys(fps[:, k])]]
+                yield packed(*(np.concatenate(x) for x in zip(*made)), batch["rep"].to_numpy(), fps, n)
 
     def meet(batches):
-        got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("rep", pa.int64()), *((c, pa.int64()) for c in names)]))
-        rep = got["rep"].to_numpy()
-        a, b = bucket_links(got["key"].to_numpy(), np.stack([got[c].to_numpy().view(np.uint64) for c in names], axis=1), bits)
-        a, b = stars(rep[a], rep[b])  # a row for each member at most, and mostly the same ones from all tasks
+        key, at, rep, fps = unpacked(batches, len(names))
+        a, b = bucket_links(key, fps[at], bits)
+        a, b = stars(rep[at[a]], rep[at[b]])  # a row for each member at most, and mostly the same ones from all tasks
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    long = ", ".join(f"{c} long" for c in names)
-    edges = reps.select(F.col("rep").cast("long"), *names).repartition(n, "rep").mapInArrow(tidy(emit), f"key long, rep long, {long}").repartition(n, "key").mapInArrow(tidy(meet), "a long, b long")
+    edges = reps.select(F.col("rep").cast("long"), *names).repartition(n, "rep").mapInArrow(tidy(emit), PACKED).repartitionById(n, F.col("to")).mapInArrow(tidy(meet), "a long, b long")
     found = components(edges)
     owner = reps.join(found, F.col("rep") == F.col("id"), "left").select(*names, "size", F.coalesce("component", "rep").alias("component_id"))
     return spread_join(prints, owner, names, "size", prints.count()).select(id_col, *names, "component_id")
@@ -320,30 +350,26 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 48,
 
     prints = cut(rows.mapInArrow(tidy(sketch), f"_id {ids}, node long, " + ", ".join(f"{c} long" for c in names) + ", bands binary"))
     reps = cut(prints.groupBy("node").agg(F.min("_id").cast("long").alias("rep"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in [*names, "bands"])).where("rep is not null"))
-    n = parts(reps, 1 << 20)
+    n = parts(reps, 4 << 20)
 
     def emit(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                fps = [batch[c].to_numpy().view(np.uint64) for c in names]
-                made = [(row, key | (k << 26)) for k in range(KEYED) for row, key in [keys(fps[k])]]
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                fps = np.stack([batch[c].to_numpy().view(np.uint64) for c in names], axis=1)
+                made = [(row, key | (k << 26)) for k in range(KEYED) for row, key in [keys(fps[:, k])]]
                 bands = np.frombuffer(b"".join(batch["bands"].to_pylist()), np.uint64).reshape(-1, BANDS)
                 row, col = np.nonzero(bands)
                 made.append((row, ((bands[row, col] >> np.uint64(2)) | np.uint64(1 << 62)).view(np.int64)))
-                for row, key in made:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch["node"].take(pa.array(row)), *(pa.array(x[row].view(np.int64)) for x in fps)], ["key", "node", *names])
+                yield packed(*(np.concatenate(x) for x in zip(*made)), batch["node"].to_numpy(), fps, n)
 
     def meet(batches):
-        long = pa.int64()
-        got = pa.Table.from_batches(list(batches), schema=pa.schema([("key", long), ("node", long), *((c, long) for c in names)]))
-        node = got["node"].to_numpy()
-        a, b = bucket_links(got["key"].to_numpy(), np.stack([got[c].to_numpy().view(np.uint64) for c in names], axis=1), bits)
-        a, b = stars(node[a], node[b])
+        key, at, node, fps = unpacked(batches, PRINTS)
+        a, b = bucket_links(key, fps[at], bits)
+        a, b = stars(node[at[a]], node[at[b]])
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    long = ", ".join(f"{c} long" for c in names)
-    edges = reps.select("node", *names, "bands").repartition(n, "node").mapInArrow(tidy(emit), f"key long, node long, {long}").repartition(n, "key").mapInArrow(tidy(meet), "a long, b long")
+    edges = reps.select("node", *names, "bands").repartition(n, "node").mapInArrow(tidy(emit), PACKED).repartitionById(n, F.col("to")).mapInArrow(tidy(meet), "a long, b long")
     near = cut(components(edges).join(reps.select(F.col("node").alias("id"), "rep"), "id"))
     # Texts are read again for members of candidate components only, told by bits of a fixed size, whatever the input's.
     bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER)) + 1
