@@ -111,3 +111,61 @@ def test_transcript_and_ols(spark):
     got = panel.least_squares(rows, "y", ["x"]).collect()
     assert [r["term"] for r in got] == ["const", "x"] and abs(got[1]["coef"] - 2) < 0.05 and got[1]["p"] < 1e-6
     assert abs(panel.student_p(2.0, 10) - 0.07338803) < 1e-6
+
+
+def test_run_resumes_where_the_log_ends(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{k}", "inflation hike " * k) for k in range(8)], "id string, text string")
+    log, asked = str(tmp_path / "log"), []
+
+    def judge(pairs):
+        asked.append(pairs.count())
+        return pairs.withColumn("winner", F.when(F.length("a_text") > F.length("b_text"), "A").otherwise("B")).withColumn("confidence", F.lit(1.0))
+
+    first = {r["id"]: r["mu"] for r in tournament.run(docs, "id", "text", judge, log, appearances=4, batch=4).collect()}
+    rows = spark.read.schema(tournament.LOG_SHAPE).parquet(log).collect()
+    assert len(rows) == sum(asked) == 16 and sorted(r["seq"] for r in rows) == list(range(16))
+    more = docs.unionByName(spark.createDataFrame([("new", "cut cut")], "id string, text string"))
+    again = tournament.run(more, "id", "text", judge, log, appearances=4, batch=4)
+    rows = spark.read.schema(tournament.LOG_SHAPE).parquet(log).collect()
+    played = {i for r in rows[:16] for i in (r["a"], r["b"])}
+    assert sorted(r["seq"] for r in rows) == list(range(len(rows))) and len(rows) == 16 + 4 * (1 + 8 - len(played)) // 2
+    kept = {r["id"]: r["mu"] for r in tournament.replay(spark.createDataFrame(rows, tournament.LOG_SHAPE)).collect()}
+    assert all(math.isclose(r["mu"], kept.get(r["id"], 50.0), rel_tol=1e-9) for r in again.collect()) and first
+
+    def silent(pairs):
+        return pairs.withColumn("winner", F.lit(None).cast("string")).withColumn("confidence", F.lit(0.0))
+
+    with pytest.raises(RuntimeError):
+        tournament.run(docs, "id", "text", silent, str(tmp_path / "other"), appearances=4, max_failures=5)
+
+
+def test_letter_spacing(spark):
+    c, spaced = F.col("t"), "In order to m aintain p rice s tability "
+    assert one(spark, text.unspace(c), t=spaced * 20) == "In order to maintain price stability " * 20
+    assert one(spark, text.unspace(c), t=spaced) == spaced
+
+
+def test_asking_waits_and_leaves_errors(spark):
+    from tidemark.sources import web
+
+    def post(prompt):
+        return {"a": (200, "fine", None), "b": (400, "", None)}.get(prompt, (503, "", 0.0))
+
+    got = {r["p"]: (r["reply"], r["error"]) for r in web.ask(spark.createDataFrame([("a",), ("b",), ("c",)], "p string"), "p", post, tries=2, at_once=1).collect()}
+    assert got == {"a": ("fine", None), "b": (None, "status 400"), "c": (None, "status 503")}
+
+
+def test_staging_loads_once(spark, tmp_path):
+    from tidemark.sources import files
+
+    calls = []
+
+    def load(missing):
+        calls.append(sorted(r["k"] for r in missing.collect()))
+        return missing.withColumn("v", F.upper("k"))
+
+    keys = spark.createDataFrame([("a",), ("b",)], "k string")
+    path = str(tmp_path / "stage")
+    assert files.staged(spark, keys, "k", path, load).count() == 2
+    more = keys.unionByName(spark.createDataFrame([("c",)], "k string"))
+    assert sorted(r["v"] for r in files.staged(spark, more, "k", path, load).collect()) == ["A", "B", "C"] and calls == [["a", "b"], ["c"]]

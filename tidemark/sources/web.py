@@ -80,7 +80,7 @@ def ask(prompts: DataFrame, prompt: str, post: Callable[[str], tuple[int, str, f
     429 and 5xx are tried again after that wait, or after a doubling one with a share by the prompt's hash, `longest`
     seconds at most; other statuses of 400 and more fail at once. A failure leaves an error, so others are not lost.
     """
-    kind = prompts.select("*", F.lit("").alias("reply"), F.lit("").alias("error")).schema
+    kind = prompts.select("*", *(F.lit(None).cast("string").alias(c) for c in ("reply", "error"))).schema
 
     def one(text: str) -> tuple[str | None, str | None]:
         error = None
