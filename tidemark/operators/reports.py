@@ -77,8 +77,13 @@ def line_starts(body: Column) -> Column:
 
 def headings(body: Column, titles: Column) -> Column:
     """array<struct<line, title>>: the line that each title opens, each behind the one before; titles that open none are left out."""
-    flat, starts = squash(body), line_starts(body)
     kind = "array<struct<line:int,title:string>>"
+    # As the argument of a function of one element, the squashed body is made once a row, not once a title and line.
+    own = F.array(F.struct(squash(body).alias("flat"), line_starts(body).alias("starts"), titles.alias("titles")))
+    return F.get(F.transform(own, lambda x: _located(x["flat"], x["starts"], x["titles"], kind)), F.lit(0))
+
+
+def _located(flat: Column, starts: Column, titles: Column, kind: str) -> Column:
     start = F.struct(F.lit(0).alias("cursor"), F.array().cast(kind).alias("found"))
 
     def step(acc: Column, title: Column) -> Column:
